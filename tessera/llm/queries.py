@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, leakage, ranking, splitting
+from . import canonical, consensus, encoding, leakage, ranking, similar, splitting
 
 LABELS = ["SUPPORTED", "NOT_FOUND", "NO_CLAIM", "CONTRADICTED"]
 
@@ -75,6 +75,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.same_look_pairs(docs.unionByName(drafts))
 
 
+def _similar(spark: SparkSession, d: str) -> similar.SimilarSets:
+    drafts = table(spark, d, "golden_draft")
+    return similar.SimilarSets(similar.word_sets(drafts, "query_id", "query", "category"), 0.7)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of drafts of one category that share at least 0.7 of their words."""
+    return _similar(spark, d).pairs().toDF("query_id_a", "query_id_b")
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class and group of every draft, with its class's links."""
+    return _similar(spark, d).groups().select(F.col("id").alias("query_id"), F.col("scope").alias("category"), "class", "group", "links")
+
+
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk of every query-run with its closeness and place."""
     found = ranking.ideal_point_ranking(table(spark, d, "retrieved_chunk"), ["run_name", "query_id"], "chunk_id", ["dense_score", "sparse_score"])
@@ -106,7 +121,7 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p5_found, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned)
+    for f in (p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned)
 }
 
 #: Left empty where SQL can't express the operator or is too slow over whole tables; those have tests instead.
