@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, consensus, encoding, leakage, ranking, similar, splitting
+from . import canonical, consensus, encoding, langid, leakage, pairs, ranking, similar, splitting
 
 LABELS = ["SUPPORTED", "NOT_FOUND", "NO_CLAIM", "CONTRADICTED"]
 
@@ -20,6 +20,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(folder, name)
 
 
+def _language_model(spark: SparkSession, d: str) -> langid.LanguageModel:
+    return langid.fit_on([
+        (table(spark, d, "source_docs"), "doc_id", "content", "metadata.lang"),
+        (table(spark, d, "golden_draft"), "query_id", "query", "lang"),
+    ])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with a defect."""
+    turns = table(spark, d, "feedback_turn").select("answer_message_id", "question")
+    found = pairs.defects(turns, table(spark, d, "message").select("id", "content"), _language_model(spark, d))
+    return found.where("defect is not null")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents longer than each chunk size, and those with a run that no boundary can divide."""
     settings = dict(splitting.settings_of(table(spark, d, "ablation_cell")))  # the largest overlap of each size
@@ -68,6 +82,25 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return found.select("items", "votes", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")])
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    model = _language_model(spark, d)
+    docs = langid.languages(table(spark, d, "source_docs"), "doc_id", "content", "metadata.lang", model, segments=True)
+    drafts = langid.languages(table(spark, d, "golden_draft"), "query_id", "query", "lang", model, segments=False)
+    return docs.withColumn("item", F.lit("doc")).unionByName(drafts.withColumn("item", F.lit("query")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a missing or wrong language label, and the lines of documents of mixed language."""
+    found = _languages(spark, d).where("lang is not null and (seg >= 0 or label is null or label <> lang)")
+    return found.select("item", F.col("id").alias("item_id"), "seg", "lang").distinct()
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and ambiguity of every record, and of every line of a mixed document."""
+    found = _languages(spark, d).withColumn("confidence", F.round("confidence", 6))
+    return found.select("item", F.col("id").alias("item_id"), "seg", "lang", "confidence", "ambiguous").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that look the same and are stored with different characters."""
     docs = canonical.text_classes(table(spark, d, "source_docs"), "doc", "doc_id", "content")
@@ -121,7 +154,7 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned)
+    for f in (p1_found, p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p4_found, p4_languages, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned)
 }
 
 #: Left empty where SQL can't express the operator or is too slow over whole tables; those have tests instead.
