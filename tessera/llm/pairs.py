@@ -20,6 +20,12 @@ from .langid import MIXED, LanguageModel
 # Phrases that decline, words that only frame a refusal, labels before a repeated question.
 DECLINING = (
     r"\b(?:i|we)(?:'m| am|'re| are)? (?:afraid )?(?:cannot|can't|can not|could not|couldn't|unable to|not able to|not allowed|not permitted|would rather not|will not|won't|must decline|have to decline|must refuse|decline to|refuse to|prefer not|do not know|don't know|do not have|don't have|have no|found no|find no|found nothing|find nothing)\b",
+    # The speaker and a negation in one sentence.
+    r"\b(?:i|i'm|i am|me|my)\b.{0,80}\b(?:no|not|nothing|none|never|cannot|\w+n't|unable|declin\w+|refus\w+|unanswered)\b",
+    r"\b(?:no|not|nothing|none|never|cannot|\w+n't|unable|unanswered|declin\w+|refus\w+)\b.{0,80}\b(?:i|i'm|me|my)\b",
+    r"\b(?:không|chưa|từ chối|khó)\b.{0,80}\b(?:tôi|chúng tôi|em)\b|\b(?:tôi|chúng tôi|em)\b.{0,80}\b(?:không|chưa|từ chối|để trống)\b",
+    r"\b(?:je|j'|me|m')(?=\b|\w).{0,80}\b(?:ne|pas|aucun|aucune|rien|refus\w+)\b",
+    r"\bnone of the (?:sources|documents|passages|texts|records)\b|\b(?:would|could) (?:only )?be a guess\b|\bchỉ là (?:đoán|phỏng đoán)\b",
     r"\bno (?:answer|information|data|document|passage|source|basis|record)s?\b.{0,60}\b(?:can be|could be|was|were|is|are|mention|mentions|available|exists?|found|given)\b",
     r"\b(?:source|document|passage|text|record|report|material)s?\b.{0,40}\b(?:hold|holds|contain|contains|have|has|give|gives|offer|offers|provide|provides)\b (?:no|nothing)\b",
     r"\b(?:source|document|passage|text|record|material)s?\b.{0,30}\b(?:do|does|did) not (?:mention|contain|say|answer|cover|hold|include)\b",
@@ -35,7 +41,7 @@ DECLINING = (
     r"\b(?:dois|doit) (?:décliner|refuser)\b|\baucune? (?:réponse|information|donnée|source|document)s?\b|\bhors de (?:mon|notre) \w+\b",
     r"\b(?:sources?|documents?|textes?)\b.{0,30}\bne (?:contiennent|contient|donnent|donne|mentionnent|mentionne|permettent|permet)\b",
 )
-COURTESY = r"\b(?:you|your|please|thank|thanks|sorry|unfortunately|afraid|else|bạn|quý|vui lòng|xin|hãy|cảm ơn|rất tiếc|vous|votre|merci|désolé|veuillez|malheureusement)\b"
+COURTESY = r"\b(?:i|me|my|tôi|chúng tôi|je|you|your|please|thank|thanks|sorry|unfortunately|afraid|else|bạn|quý|vui lòng|xin|hãy|cảm ơn|rất tiếc|vous|votre|merci|désolé|veuillez|malheureusement)\b"
 LABELS = r"^(?:[>\-*#\s]|(?:question|q|query|user|prompt|your question|you asked|the question is|answer|a|câu hỏi|hỏi|người dùng|bạn hỏi|câu hỏi của bạn|trả lời|đáp|question posée|réponse)\s*[:：\-])+"
 YES_OR_NO = {"yes", "no", "có", "không", "đúng", "sai", "oui", "non"}
 
