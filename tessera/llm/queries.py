@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.tables import table
-from . import canonical, consensus, encoding, langid, leakage, pairs, ranking, similar, splitting
+from . import abuse, canonical, consensus, encoding, langid, leakage, pairs, ranking, similar, splitting
 
 LABELS = ["SUPPORTED", "NOT_FOUND", "NO_CLAIM", "CONTRADICTED"]
 
@@ -105,7 +106,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that look the same and are stored with different characters."""
     docs = canonical.text_classes(table(spark, d, "source_docs"), "doc", "doc_id", "content")
     drafts = canonical.text_classes(table(spark, d, "golden_draft"), "query", "query_id", "query")
-    return canonical.same_look_pairs(docs.unionByName(drafts))
+    return canonical.same_look_pairs(written(docs.unionByName(drafts)))  # four uses, one pass over the texts
 
 
 def _similar(spark: SparkSession, d: str) -> similar.SimilarSets:
@@ -152,9 +153,30 @@ def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(table(spark, d, "documents"), "doc_id", "text", fitted).where("removed > 0").drop("text")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    labels = abuse.reviewed(table(spark, d, "moderation_label"), docs, "doc_id", "toxic", "text", "lang")
+    return abuse.scored(docs, "doc_id", "text", "lang", "source", abuse.fit(labels))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit sentence."""
+    return _scored(spark, d).where("toxic").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d).select("doc_id", F.round("score", 4).alias("score"), "toxic")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents in each source."""
+    return abuse.rates(_scored(spark, d)).select("source", "documents", "toxic", F.round("rate", 6).alias("rate"), F.round("score", 3).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p4_found, p4_languages, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned)
+    for f in (p1_found, p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p4_found, p4_languages, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores, p10_rates)
 }
 
 #: Left empty where SQL can't express the operator or is too slow over whole tables; those have tests instead.
