@@ -1 +1,11 @@
+"""Registered queries of the engine."""
 
+from importlib import import_module
+
+MODULES = ("scalars", "retrieval", "evaluation", "chunking", "curation", "operations", "streams")
+
+
+def load() -> None:
+    """Import every module of queries, which registers them."""
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
