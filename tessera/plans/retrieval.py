@@ -9,6 +9,7 @@ from ..operators import retrieve as R
 from ..sources.tables import table
 from .registry import query
 
+_WORD = T.WORD.replace("{", "{{").replace("}", "}}")  # for str.format
 _DOT = "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 _SIZE = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 _DENSE = f"""SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_DOT} / ({_SIZE.format('q')} * {_SIZE.format('c')}), 6) AS score,
@@ -32,7 +33,7 @@ def dense_topk_filtered(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-_TOKENS = "SELECT {key} AS id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 65536)::INT AS bucket, max(ln(1 + n)) AS weight FROM (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '" + T.WORD + "')) AS w FROM {table} WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY ALL"
+_TOKENS = "SELECT {key} AS id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 65536)::INT AS bucket, max(ln(1 + n)) AS weight FROM (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '" + _WORD + "')) AS w FROM {table} WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY ALL"
 _SPARSE = f"""SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.id AS query_id, c.id AS item_id, round(sum(q.weight * c.weight), 6) AS score
     FROM ({_TOKENS.format(key='item_id', table='eval_item')}) q JOIN ({_TOKENS.format(key='doc_id', table='documents')}) c USING (bucket) GROUP BY ALL)"""
 
@@ -48,7 +49,7 @@ def sparse_topk(spark, d):
     return _sparse(spark, d, 10)
 
 
-_DENSE_TEXT = "SELECT {key} AS id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, sum(ln(1 + n)) AS v FROM (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '" + T.WORD + "')) AS w FROM {table} WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY ALL)"
+_DENSE_TEXT = "SELECT {key} AS id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INT AS bucket, sum(ln(1 + n)) AS v FROM (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '" + _WORD + "')) AS w FROM {table} WHERE text IS NOT NULL) GROUP BY ALL) GROUP BY ALL)"
 _HYBRID = f"""WITH dense AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT q.id AS query_id, c.id AS item_id, round(sum(q.value * c.value), 6) AS score
     FROM ({_DENSE_TEXT.format(key='item_id', table='eval_item')}) q JOIN ({_DENSE_TEXT.format(key='doc_id', table='documents')}) c USING (bucket) GROUP BY ALL) QUALIFY rank <= 50),
     sparse AS (SELECT query_id, item_id, rank FROM ({_SPARSE}) WHERE rank <= 50),
@@ -183,10 +184,10 @@ def filter_selectivity(spark, d):
     return rows.select("doc_id", "chunks", F.round(F.col("n") / total, 6).alias("share"))
 
 
-@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND " + _DOT.replace("q.", "a.").replace("c.", "b.") + " >= 0.5")
+@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND " + _DOT.replace("q.", "a.").replace("c.", "b.") + " >= 0.2")
 def cosine_neighbours(spark, d):
     """Similar items of one label for the stated queries; a cosine join of all rows is what dense_top's blocks are for."""
     e = table(spark, d, "embeddings")
     a, b = (e.select(F.col("vec_id").alias(f"id_{s}"), "label", F.col("embedding").alias(s)) for s in "ab")
     pairs = a.where("id_a % 100 = 0").join(b, "label").where("id_a < id_b")
-    return pairs.where(V.dot(F.col("a"), F.col("b")) >= 0.5).select("id_a", "id_b", "label")
+    return pairs.where(V.dot(F.col("a"), F.col("b")) >= 0.2).select("id_a", "id_b", "label")

@@ -66,7 +66,7 @@ def sentence_pieces(spark, d):
 
 
 @query(
-    r"""SELECT id, list_distinct_ordered AS cited, trim(regexp_replace(content, '\s*\[\d+\]', '', 'g')) AS plain FROM (SELECT id, content,
+    r"""SELECT id, list_distinct_ordered AS cited, regexp_replace(regexp_replace(content, '\s*\[\d+\]', '', 'g'), '^ +| +$', '', 'g') AS plain FROM (SELECT id, content,
     list_reduce(list_prepend([]::INT[], list_transform(regexp_extract_all(content, '\[(\d{1,6})\]', 1), lambda x: [x::INT])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered
     FROM message WHERE content IS NOT NULL)"""
 )
