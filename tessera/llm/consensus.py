@@ -26,6 +26,23 @@ def usable_votes(df: DataFrame, item: str, annotator, label: str, labels: list[s
     return rows.groupBy("item", "annotator").agg(F.max(F.struct("at", "label"))["label"].alias("label"))
 
 
+def best_naming(table: list[list[float]]) -> list[int]:
+    """The label of each class that gives the greatest sum of table[class][label], each label once; by subsets."""
+    k = len(table)
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for c in range(k):
+        after: dict[int, tuple[float, list[int]]] = {}
+        for used, (total, names) in best.items():
+            for label in range(k):
+                if not used >> label & 1:
+                    made = (total + table[c][label], [*names, label])
+                    key = used | 1 << label
+                    if key not in after or made[0] > after[key][0]:
+                        after[key] = made
+        best = after
+    return best[(1 << k) - 1][1]
+
+
 class Consensus:
     """Fitted consensus: `items` (item, p0.., votes) and `annotators` (annotator, c, l, p: chance of label l for class c)."""
 
@@ -45,7 +62,33 @@ class Consensus:
             if before is not None and max((abs(a - b) for a, b in zip(prior, before, strict=True)), default=0) < tolerance:
                 break
             before = prior
-        self.model, self.prior, self.items = model, prior, share
+        self.model, self.prior, self.items = self._named(model, prior, share)
+
+    def _named(self, model: DataFrame, prior: list[float], share: DataFrame) -> tuple[DataFrame, list[float], DataFrame]:
+        """Name the classes by the annotators that tell most.
+
+        The likelihood is the same for any naming of the classes, and EM keeps the one it started with, which a biased
+        majority may have set. The right naming puts the consistent annotators on the diagonal: each confusion matrix
+        counts by its votes times the information that a vote gives about the class, whatever the names.
+        """
+        k = len(self.labels)
+        shares = F.element_at(F.array(*[F.lit(p) for p in prior]), F.col("c") + 1)
+        joint = model.withColumn("j", F.col("p") * shares)
+        margin = F.sum("j").over(Window.partitionBy("annotator", "l"))
+        told = joint.withColumn("i", F.col("j") * F.log(F.col("p") / margin)).groupBy("annotator").agg(F.sum("i").alias("told"))
+        counts = self.votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("votes"))
+        weight = F.sum(F.col("j") * F.col("told") * F.col("votes"))
+        cells = joint.join(told, "annotator").join(counts, "annotator").groupBy("c", "l").agg(weight.alias("w")).collect()
+        table = [[0.0] * k for _ in range(k)]
+        for cell in cells:
+            table[cell.c][cell.l] = cell.w
+        names = best_naming(table)
+        if names == list(range(k)):
+            return model, prior, share
+        renamed = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c") + 1)
+        back = [names.index(n) for n in range(k)]
+        shared = share.select("item", "votes", *[F.col(f"p{back[n]}").alias(f"p{n}") for n in range(k)])
+        return model.withColumn("c", renamed), [prior[back[n]] for n in range(k)], shared
 
     def _settled(self, df: DataFrame) -> DataFrame:
         """End the lineage of a round: rows in bounded number come to the driver, others are checkpointed."""
