@@ -179,5 +179,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p2_found, p2_pieces, p3_found, p3_annotators, p3_agreement, p4_found, p4_languages, p5_found, p6_found, p6_groups, p7_found, p7_ranking, p8_ids, p9_found, p9_cleaned, p10_found, p10_scores, p10_rates)
 }
 
-#: Left empty where SQL can't express the operator or is too slow over whole tables; those have tests instead.
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_RUN = "[^\\t\\n\\x{0B}\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_VOTE = "replace(trim(regexp_replace(upper({}), '[\\s\\p{{Z}}_\\-]+', ' ', 'g')), ' ', '_')"
+_LABELS = "('SUPPORTED', 'NOT_FOUND', 'NO_CLAIM', 'CONTRADICTED')"
+
+#: Only for operators that SQL can say, over whole tables, in good time; the others have tests against brute force,
+#: round trips or held-out accuracy.
+ORACLES: dict[str, str] = {
+    "p2_found": f"""WITH d AS (SELECT DISTINCT doc_id, content FROM source_docs WHERE content IS NOT NULL), s AS (SELECT DISTINCT chunk_size FROM ablation_cell WHERE chunk_size IS NOT NULL),
+        r AS (SELECT doc_id, length(content) AS n, list_max(list_transform(regexp_extract_all(content, '{_RUN}'), lambda x: length(x))) AS run FROM d)
+        SELECT DISTINCT doc_id, chunk_size, 'split' AS kind FROM r, s WHERE n > chunk_size UNION SELECT doc_id, chunk_size, 'forced' FROM r, s WHERE run > chunk_size""",
+    "p3_agreement": f"""WITH v AS (SELECT ref, 'j' || judge_model AS who, {_VOTE.format('judge_label')} AS label, NULL::TIMESTAMPTZ AS seen FROM faith_sealed UNION ALL SELECT ref, 'h' || annotator, {_VOTE.format('gold')}, labelled_at FROM faith_human
+        UNION ALL SELECT ref, 'c' || served_model, {_VOTE.format('label')}, NULL FROM faith_cross),
+        u AS (SELECT ref, label FROM v WHERE ref IS NOT NULL AND who IS NOT NULL AND label IN {_LABELS} QUALIFY row_number() OVER (PARTITION BY ref, who ORDER BY seen DESC NULLS LAST, label DESC) = 1),
+        c AS (SELECT ref, label, count(*) AS n FROM u GROUP BY ALL), p AS (SELECT ref, sum(n) AS m, sum(n * (n - 1)) AS same FROM c GROUP BY ref HAVING m > 1),
+        e AS (SELECT label, sum(n) AS n FROM c WHERE ref IN (SELECT ref FROM p) GROUP BY label),
+        t AS (SELECT count(*) AS items, sum(m)::BIGINT AS votes, sum(same / (m - 1)) / sum(m) AS o FROM p), x AS (SELECT sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS e FROM e)
+        SELECT items, votes, round(o, 9) AS observed, round(e, 9) AS expected, round(1 - (1 - o) / (1 - e), 9) AS alpha FROM t, x""",
+    "p5_found": f"""WITH r AS (SELECT DISTINCT 'doc' AS item, doc_id AS id, content AS t FROM source_docs WHERE content IS NOT NULL UNION SELECT DISTINCT 'query', query_id, query FROM golden_draft WHERE query IS NOT NULL),
+        f AS (SELECT item, id, t, {canonical.canonical_sql('t')} AS form FROM r)
+        SELECT DISTINCT a.item, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.item = b.item AND a.form = b.form AND a.id < b.id AND a.t <> b.t WHERE regexp_matches(a.form, '[^[:space:]]')""",
+    "p6_found": f"""WITH r AS (SELECT DISTINCT query_id AS id, coalesce(category, '') AS scope, list_distinct({_WORDS.format(canonical.canonical_sql('query'))}) AS w FROM golden_draft WHERE query IS NOT NULL AND regexp_matches({canonical.canonical_sql('query')}, '[^[:space:]]'))
+        SELECT a.id AS query_id_a, b.id AS query_id_b FROM r a JOIN r b ON a.scope = b.scope AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-12""",
+    "p7_found": """WITH k AS (SELECT run_name, query_id, chunk_id, max(CASE WHEN NOT isnan(dense_score) THEN dense_score END) AS d, max(CASE WHEN NOT isnan(sparse_score) THEN sparse_score END) AS s FROM retrieved_chunk
+        WHERE run_name IS NOT NULL AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY run_name, query_id ORDER BY d DESC NULLS LAST, chunk_id) AS rd, row_number() OVER (PARTITION BY run_name, query_id ORDER BY s DESC NULLS LAST, chunk_id) AS rs, count(d) OVER w AS nd, count(s) OVER w AS ns FROM k WINDOW w AS (PARTITION BY run_name, query_id))
+        SELECT run_name, query_id, chunk_id FROM r WHERE (nd > 0 AND ns > 0 AND rd <= 2 AND rs <= 2 AND d IS NOT NULL AND s IS NOT NULL) OR (ns = 0 AND nd > 0 AND rd = 1) OR (nd = 0 AND ns > 0 AND rs = 1)""",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format(canonical.canonical_sql('text'))} AS w FROM eval_item WHERE text IS NOT NULL), g AS (SELECT item_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS k FROM i)),
+        d AS (SELECT doc_id, {_WORDS.format(canonical.canonical_sql('text'))} AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS k FROM d))
+        SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (p)""",
+}
