@@ -13,8 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Rebalance rows ahead of per-row Python work when the scan has fewer splits than cores can use.
 
-    Large inputs already have many splits and pass through without a shuffle.
+    Large inputs already have many splits and pass through without a shuffle, and so does what a shuffle has made,
+    since asking for its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
