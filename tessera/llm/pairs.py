@@ -168,8 +168,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     version follows next, so each text meets one neighbour, across the border of two parts as well.
     """
     once = texts.where("form <> ''").groupBy("key").agg(F.first("form").alias("form"))
-    ordered = written(once.repartitionByRange("form").sortWithinPartitions("form").withColumn("part", F.spark_partition_id()))
-    sorted_again = ordered.repartitionByRange("part", "form").sortWithinPartitions("part", "form")
+    ordered = once.repartitionByRange("form").sortWithinPartitions("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last, out = None, None, []
@@ -188,7 +187,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     def _rows(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["key", "what", "form"])
 
-    seen = written(sorted_again.select("key", "form").mapInArrow(run, "key string, what string, form string"))
+    seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, form string"))
     # First and last text of every part, in order: two rows for each part.
     borders = seen.where("what <> 'shortened'").withColumn("after", F.lead("form").over(Window.orderBy("form", F.col("what").desc())))
     test = F.udf(goes_on, "boolean")
