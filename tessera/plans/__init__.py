@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "retrieval", "evaluation", "chunking", "curation", "operations", "streams")
+MODULES = ("scalars", "retrieval", "evaluation", "chunking", "curation", "operations", "answers", "streams")
 
 
 def load() -> None:
