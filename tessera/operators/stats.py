@@ -123,3 +123,38 @@ def winners(means: DataFrame, run: str, metric: str, value: str, margin: float)
     best = F.max(value).over(Window.partitionBy(metric))
     state = F.when(F.col(value) == best, "top").when(F.col(value) >= best - margin, "equivalent").otherwise("beaten")
     return means.select(run, metric, value, state.alias("state"))
+
+
+def calibration(df: DataFrame, predicted: Column, actual: Column, *groups: str) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 and bias (predicted over actual, less one) of a detector; nulls are left out."""
+    rows = df.withColumn("_p", predicted).withColumn("_a", actual).where("_p is not null and _a is not null")
+    sums = rows.groupBy(*groups).agg(F.count_if(F.expr("_p and _a")).alias("tp"), F.count_if(F.expr("_p and not _a")).alias("fp"), F.count_if(F.expr("_a and not _p")).alias("fn"))
+    tp, said, is_so = F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")
+    zero = F.lit(0)
+    return sums.select(
+        *groups, "tp", "fp", "fn", F.round(tp / F.nullif(said, zero), 6).alias("precision"), F.round(tp / F.nullif(is_so, zero), 6).alias("recall"),
+        F.round(2 * tp / F.nullif(said + is_so, zero), 6).alias("f1"), F.round(said / F.nullif(is_so, zero) - 1, 6).alias("bias"),
+    )
+
+
+def comparable(a: DataFrame, b: DataFrame, key: str, digest: str) -> DataFrame:
+    """shared, only_a, only_b and differing keys of two runs' label digests; comparable where no digest differs."""
+    both = a.select(key, F.col(digest).alias("a")).join(b.select(key, F.col(digest).alias("b")), key, "full")
+    differ = F.count_if(F.col("a") != F.col("b"))
+    return both.agg(
+        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared"), F.count_if(F.col("b").isNull()).alias("only_a"),
+        F.count_if(F.col("a").isNull()).alias("only_b"), differ.alias("differing"), (differ == 0).alias("comparable"),
+    )
+
+
+def stratified_bootstrap(df: DataFrame, stratum: str, weight: str, value: str, key: Column, draws: int = 200, level: float = 0.95) -> DataFrame:
+    """low, high of a weighted mean, resampled within strata with Poisson weights from hashes of the key."""
+    spread = df.select(stratum, weight, value, F.md5(key.cast("string")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    u = F.conv(F.substring(F.md5(F.concat("h", F.lit("/"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    drawn = spread.withColumn("k", sum(((u >= p).cast("int") for p in POISSON), F.lit(0)))
+    sums = drawn.groupBy("draw", stratum).agg((F.sum(F.col("k") * F.col(value)) / F.nullif(F.sum("k"), F.lit(0))).alias("m"), F.sum(weight).alias("w"))
+    means = sums.where("m is not null").groupBy("draw").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("m"))
+    placed = means.withColumn("i", F.row_number().over(Window.orderBy("m")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row a draw
+    tail = (1 - level) / 2
+    low, high = F.floor(F.col("n") * tail), F.least(F.col("n") - 1, F.floor(F.col("n") * (1 - tail)))
+    return placed.agg(F.round(F.max(F.when(F.col("i") == low, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == high, F.col("m"))), 6).alias("high"))

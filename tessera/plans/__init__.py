@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "retrieval", "evaluation", "chunking", "curation", "operations", "answers", "streams")
+MODULES = ("scalars", "retrieval", "evaluation", "chunking", "curation", "operations", "answers", "incremental", "streams")
 
 
 def load() -> None:
