@@ -48,25 +48,38 @@ def summary(df: DataFrame, metrics: list[str], groups: list[list[str]]) -> DataF
     )
 
 
+def ordered_values(df: DataFrame, value: str, *groups: str) -> DataFrame:
+    """groups, v, upto, n: each distinct value with the rows up to it and in all.
+
+    Rows combine by value before the shuffle, so a hot group sends its distinct values, not its rows.
+    """
+    w = Window.partitionBy(*groups)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return counts.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+
+
+def value_at(index: Column) -> Column:
+    """The value at a place (from 0) of the sorted rows, from `ordered_values`."""
+    return F.min(F.when(F.col("upto") > index, F.col("v")))
+
+
 def latency(df: DataFrame, column: str, *groups: str) -> DataFrame:
-    """Mean, the values at n // 2 and int(.95 n), maximum and sample deviation, by sorting within Spark, not a task's memory."""
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    rows = df.where(F.col(column).isNotNull()).select(*groups, F.col(column).alias("v"))
-    placed = rows.withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    """n, mean, the values at n // 2 and int(.95 n), maximum and sample deviation of each group."""
+    rows = df.where(F.col(column).isNotNull())
+    sums = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.max(column).alias("max"), F.round(F.stddev_samp(column), 5).alias("deviation"))
     last = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    return placed.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("v"))).alias("p50"),
-        F.max(F.when(F.col("i") == last, F.col("v"))).alias("p95"), F.max("v").alias("max"), F.round(F.stddev_samp("v"), 5).alias("deviation"),
-    )
+    places = ordered_values(df, column, *groups).groupBy(*groups).agg(value_at(F.floor(F.col("n") / 2)).alias("p50"), value_at(last).alias("p95"))
+    for g in groups:
+        places = places.withColumnRenamed(g, f"_{g}")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return sums.join(places, same).select(*groups, "n", "mean", "p50", "p95", "max", "deviation")
 
 
 def auc(df: DataFrame, score: str, positive: str, *groups: str) -> DataFrame:
-    """Chance that a positive row scores above a negative one, ties by half, from rank sums."""
+    """Chance that a positive row scores above a negative one, ties by half; from counts of each distinct score."""
     w = Window.partitionBy(*groups)
     rows = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    ranks = rows.withColumn("low", F.rank().over(w.orderBy(score))).withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy(*groups, score)))
-    place = F.col("low") + (F.col("ties") - 1) / 2
-    sums = ranks.groupBy(*groups).agg(
-        F.sum(F.when(F.col(positive), place)).alias("r"), F.sum(F.col(positive).cast("bigint")).alias("p"), F.sum((~F.col(positive)).cast("bigint")).alias("m")
-    )
-    return sums.select(*groups, F.col("p").alias("positives"), F.col("m").alias("negatives"), F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("m"), F.lit(0)), 6).alias("auc"))
+    counts = rows.groupBy(*groups, score).agg(F.sum(F.col(positive).cast("bigint")).alias("p"), F.sum((~F.col(positive)).cast("bigint")).alias("m"))
+    below = F.sum("m").over(w.orderBy(score)) - F.col("m")
+    sums = counts.withColumn("won", F.col("p") * (below + F.col("m") / 2)).groupBy(*groups).agg(F.sum("p").alias("positives"), F.sum("m").alias("negatives"), F.sum("won").alias("won"))
+    return sums.select(*groups, "positives", "negatives", F.round(F.col("won") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0)), 6).alias("auc"))

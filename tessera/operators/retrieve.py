@@ -46,34 +46,18 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     the smaller id; a query finds itself if the corpus holds it.
     """
     spark = corpus.sparkSession
-    rows = queries.select(queries.columns[0], queries.columns[1]).toDF("q", "v").where("v is not null").toLocalIterator(prefetchPartitions=False)
-    blocks: list[tuple[list, np.ndarray]] = []
-    ids: list = []
-    vectors: list = []
-
-    def close() -> None:
-        if ids:
-            m = np.array(vectors, np.float64)
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            blocks.append((list(ids), np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
-            ids.clear()
-            vectors.clear()
-
-    for row in rows:
-        ids.append(row.q)
-        vectors.append(row.v)
-        if len(ids) * len(row.v) >= QUERY_BLOCK:
-            close()
-    close()
+    rows = queries.select(queries.columns[0], queries.columns[1]).toDF("q", "v").where("v is not null").toLocalIterator()
     item_kind = corpus.schema[corpus.columns[0]].dataType.simpleString()
     query_kind = queries.schema[queries.columns[0]].dataType.simpleString()
     schema = f"query_id {query_kind}, item_id {item_kind}, score double"
     items = corpus.select(corpus.columns[0], corpus.columns[1]).toDF("id", "v").where("v is not null")
-    found = None
-    for names, matrix in blocks:
-        shared = spark.sparkContext.broadcast((names, matrix))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def searched(block: list) -> DataFrame:
+        m = np.array([row.v for row in block], np.float64)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast(([row.q for row in block], np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             for batch in batches:
                 if not len(batch):
@@ -81,8 +65,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 own = batch.column(0)
                 m = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
                 size = np.linalg.norm(m, axis=1, keepdims=True)
-                scores = matrix @ np.divide(m, size, out=np.zeros_like(m), where=size > 0).T
-                scores = np.round(scores, 9)
+                scores = np.round(matrix @ np.divide(m, size, out=np.zeros_like(m), where=size > 0).T, 9)
                 number = np.argsort(np.argsort(np.array(own.to_pylist(), dtype=object), kind="stable"), kind="stable")
                 keep = np.stack([np.lexsort((number, -row))[:k] for row in scores])
                 which = np.repeat(np.arange(len(names)), keep.shape[1])
@@ -91,8 +74,16 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                     [pa.array([names[i] for i in which]), own.take(pa.array(taken)), pa.array(scores[which, taken])], names=["query_id", "item_id", "score"]
                 )
 
-        part = items.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
+        return items.mapInArrow(run, schema)
+
+    found, block = None, []
+    for row in rows:  # one block of the stated set at a time is held here
+        block.append(row)
+        if len(block) * len(row.v) >= QUERY_BLOCK:
+            found = searched(block) if found is None else found.unionByName(searched(block))
+            block = []
+    if block:
+        found = searched(block) if found is None else found.unionByName(searched(block))
     if found is None:
         found = spark.createDataFrame([], schema)
     return ranked(found, "query_id", F.desc("score"), F.col("item_id"), k=k)

@@ -113,9 +113,12 @@ def verdict(comparison: DataFrame, intervals: DataFrame, alpha: float = 0.05) ->
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, wanted: int, seed: str = "0") -> DataFrame:
     """At most `wanted` rows of each stratum in hash order, with the weight that stands for the stratum's rows."""
-    w = Window.partitionBy(stratum)
-    placed = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(seed + "/"), F.col(key))), key)))
-    return placed.where(F.col("i") <= wanted).withColumn("weight", F.round(F.col("n") / F.least(F.col("n"), F.lit(wanted)), 6)).drop("n", "i")
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed + "/"), F.col(key))), key)
+    # The limit by place runs in each task before the shuffle; sizes come from a partial count.
+    chosen = df.withColumn("i", F.row_number().over(w)).where(F.col("i") <= wanted).drop("i")
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    both = chosen.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    return both.withColumn("weight", F.round(F.col("n") / F.least(F.col("n"), F.lit(wanted)), 6)).drop("n", "_s")
 
 
 def winners(means: DataFrame, run: str, metric: str, value: str, margin: float) -> DataFrame:

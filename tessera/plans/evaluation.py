@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vector as V
 from ..operators import metrics as M
 from ..operators import stats as S
 from ..sources.tables import table
@@ -233,8 +232,6 @@ def citation_coverage(spark, d):
 
 @query("SELECT lang, list_sort(list(length(text)))[round_even(0.95 * (count(*) - 1), 0)::BIGINT + 1]::INT AS p95, list_sort(list(length(text)))[round_even(0.5 * (count(*) - 1), 0)::BIGINT + 1]::INT AS p50 FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def nearest_rank_lengths(spark, d):
-    w = Window.partitionBy("lang")
     rows = table(spark, d, "documents").where("text is not null").select("lang", F.length("text").alias("l"))
-    placed = rows.withColumn("i", F.row_number().over(w.orderBy("l")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.rint(F.lit(p) * (F.col("n") - 1)), F.col("l")))
-    return placed.groupBy("lang").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))
+    at = lambda p: M.value_at(F.rint(F.lit(p) * (F.col("n") - 1)))
+    return M.ordered_values(rows, "l", "lang").groupBy("lang").agg(at(0.95).alias("p95"), at(0.5).alias("p50"))

@@ -177,10 +177,8 @@ def peakedness(spark, d):
 
 @query("SELECT doc_id, count(DISTINCT chunk_id) AS chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM retrieved_chunk GROUP BY doc_id")
 def filter_selectivity(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "retrieved_chunk").groupBy("doc_id").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    total = table(spark, d, "retrieved_chunk").count()
     return rows.select("doc_id", "chunks", F.round(F.col("n") / total, 6).alias("share"))
 
 
