@@ -156,5 +156,8 @@ def agreement(votes: DataFrame) -> DataFrame:
     paired = counts.join(per.select("item"), "item", "left_semi").groupBy("label").agg(F.sum("n").alias("n"))
     total = per.agg(F.count(F.lit(1)).alias("items"), F.sum("m").alias("votes"), (F.sum(F.col("same") / (F.col("m") - 1)) / F.sum("m")).alias("observed"))
     spread = paired.agg(F.sum("n").alias("t"), F.sum(F.col("n") * (F.col("n") - 1)).alias("s")).select((F.col("s") / (F.col("t") * (F.col("t") - 1))).alias("expected"))
-    both = total.join(spread)  # one row beside one row
+    none = F.lit(None)
+    both = total.withColumn("expected", none.cast("double")).unionByName(
+        spread.select(none.cast("bigint").alias("items"), none.cast("bigint").alias("votes"), none.cast("double").alias("observed"), "expected")
+    ).agg(*[F.max(c).alias(c) for c in ("items", "votes", "observed", "expected")])
     return both.select("items", "votes", "observed", "expected", F.when(F.col("expected") < 1, 1 - (1 - F.col("observed")) / (1 - F.col("expected"))).alias("alpha"))
