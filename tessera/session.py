@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -46,7 +47,30 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read again: for results that several later plans use."""
+    """Write once to the shared folder and read again: for results that several later plans use.
+
+    Plans may read the table as long as the driver lives; it is removed when the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def remove_written() -> None:
+    """Remove the tables that `written` has made; for long-lived drivers, once their results have been used."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while _WRITTEN:
+            path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM may be gone; the folder is the cluster's temporary one
+        return
