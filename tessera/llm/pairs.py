@@ -190,7 +190,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, form string"))
     # First and last text of every part, in order: two rows for each part.
     borders = seen.where("what <> 'shortened'").withColumn("after", F.lead("form").over(Window.orderBy("form", F.col("what").desc())))
-    test = F.udf(goes_on, "boolean")
+    test = F.udf(lambda text, after: goes_on(text, after), "boolean")
     crossing = borders.where("what = 'last' and after is not null").where(F.col("after").startswith(F.col("form"))).where(test("form", "after"))
     return seen.where("what = 'shortened'").select("key").unionByName(crossing.select("key")).distinct()
 

@@ -98,7 +98,7 @@ def test_defects(spark, model):
 
 def test_spellings_meet():
     assert abuse.spelled_out("you i d i o t now") == "you idiot now"
-    assert abuse.words_of("i.d.i.o.t") == ["idiot"] and abuse.words_of("14,5%") == ["#", "#"] or abuse.words_of("14,5%")
+    assert abuse.words_of("i.d.i.o.t") == ["idiot"] and abuse.words_of("14,5%") == ["#", "#"]
     assert set(abuse.features("1diot")) & set(abuse.features("idiot")) and set(abuse.features("iiidiot")) & set(abuse.features("idiot"))
 
 
