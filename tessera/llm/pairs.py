@@ -48,6 +48,7 @@ YES_OR_NO = {"yes", "no", "có", "không", "đúng", "sai", "oui", "non"}
 _DECLINE = re.compile("|".join(DECLINING))
 _COURTESY = re.compile(COURTESY)
 _LABEL = re.compile(LABELS)
+_ANY_LABEL = re.compile(r"^[^:：\n]{1,40}[:：]")
 _MARK = re.compile(r"\s*\[\d+\]")
 _CLOSED = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _ENDS_IN_MARK = re.compile(r"\[\d+\][.!?…]?[\"'”’»)*_]*$")
@@ -131,7 +132,7 @@ def judged_pairs(pairs: DataFrame, model: LanguageModel) -> DataFrame:
                 return "empty"
             low = form.lower()
             asked = words(question.lower())
-            if is_copy(asked, words(low)) or is_copy(asked, words(_LABEL.sub("", low))):
+            if any(is_copy(asked, words(form_)) for form_ in (low, _LABEL.sub("", low), _ANY_LABEL.sub("", low))):
                 return "copy"
             if is_refusal(form):
                 return "refusal"

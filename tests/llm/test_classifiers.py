@@ -85,14 +85,14 @@ def test_shortened_neighbours_across_parts(spark):
 
 def test_defects(spark, model):
     q = "What did the ministry report about the new road"
-    turns = [(str(i), q) for i in range(9)] + [("0", q), ("none", q), (None, q), ("9", None)]
+    turns = [(str(i), q) for i in range(9)] + [("0", q), ("10", q), ("none", q), (None, q), ("9", None)]
     answers = {
         "0": None, "1": " [1] ", "2": q.upper() + "?", "3": "I cannot answer this.", "4": " ".join(EN), "5": " ".join(VI).capitalize() + ".",
-        "6": " ".join(EN).capitalize() + ".", "7": "45.4%", "8": "", "9": " ".join(EN).capitalize() + ".",
+        "6": " ".join(EN).capitalize() + ".", "10": "You asked me this: " + q, "7": "45.4%", "8": "", "9": " ".join(EN).capitalize() + ".",
     }
     got = pairs.defects(spark.createDataFrame(turns, "answer_message_id string, question string"), spark.createDataFrame([*answers.items(), ("3", answers["3"])], "id string, content string"), model)
     assert {r.answer_message_id: r.defect for r in got.collect()} == {
-        "0": "empty", "1": "empty", "2": "copy", "3": "refusal", "4": "truncated", "5": "other_language", "6": None, "7": None, "8": "empty", "9": None,
+        "0": "empty", "1": "empty", "2": "copy", "3": "refusal", "4": "truncated", "5": "other_language", "6": None, "7": None, "8": "empty", "9": None, "10": "copy",
     }
 
 
