@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,30 @@ def local_session(name: str = "tessera", cpus: int | None = None, memory: str =
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its executors once, so that they need no installation of it.
+
+    The archive lies in the shared folder as long as the driver lives, for executors that start later.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(root.rglob("*.py")):
+                archive.write(file, file.relative_to(root.parent))
+        path = _new_path(spark)
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{root.name}.zip")
+        out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        context.addPyFile(f"{path}/{root.name}.zip")
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder named by the session; a temporary one only where none is named (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,10 +78,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Plans may read the table as long as the driver lives; it is removed when the driver ends.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(remove_written)
-    _WRITTEN.append(path)
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,8 +86,17 @@ def written(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def _new_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, which is removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append(path)
+    return path
+
+
 def remove_written() -> None:
-    """Remove the tables that `written` has made; for long-lived drivers, once their results have been used."""
+    """Remove what this driver has put into the shared folder; a driver calls it when it has used all its results."""
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
