@@ -33,7 +33,7 @@ WORD = r"\p{L}[\p{L}\p{M}]*"
 LONGEST_RUN = 40
 BUCKETS, GRAMS = 1 << 15, (1, 2, 3, 4)
 #: Labelled rows of each table that the classifiers are fitted on, at most.
-FIT_ROWS = 1500
+FIT_ROWS = 600
 #: Weight of a word that is neither in lower nor in upper case, often a name; clip of a word's margin; cost of changing language in a text.
 NAME_WEIGHT, CLIP, CHANGE = 0.2, 3.0, 7.0
 #: Words and evidence (log units over the next language) that a whole sentence of another language needs.
