@@ -46,7 +46,7 @@ REMEMBERED = 300_000
 
 def label_language(label):
     """The language that a label column names, as vi, en, fr or mixed; null where it names none of them."""
-    base = F.split(F.lower(F.trim(label)), "[-_]")[0]
+    base = F.split(F.lower(F.regexp_replace(label, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", "")), "[-_]")[0]
     out = F.lit(None).cast("string")
     for lang, names in SPELLINGS.items():
         out = F.when(base.isin(*names), F.lit(lang)).otherwise(out)
