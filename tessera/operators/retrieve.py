@@ -14,6 +14,8 @@ from ..functions import vector as V
 
 #: A stated query set up to this many numbers is sent to every task; a larger one is searched in blocks.
 QUERY_BLOCK = 4_000_000
+#: Rows of a scope that one task of a similarity join holds of either side, and how many are compared at once.
+JOIN_BLOCK, JOIN_STRIP = 8_000, 1_000
 
 
 def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -89,6 +91,44 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return ranked(found, "query_id", F.desc("score"), F.col("item_id"), k=k)
 
 
+def cosine_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """id_a, id_b, scope, score of all pairs of items (id, scope, vector) of one scope with at least this cosine, exact.
+
+    The rows of a scope are hashed into blocks and every two blocks meet in one task, so nothing is collected or
+    broadcast and a task holds two blocks. A vector of length zero scores 0; rows without scope or vector have no pairs.
+    """
+    rows = items.toDF("id", "scope", "v").where("id is not null and scope is not null and v is not null")
+    kind, scope_kind = (rows.schema[c].dataType.simpleString() for c in ("id", "scope"))
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / JOIN_BLOCK).cast("int").alias("blocks"))
+    own = rows.join(sizes, "scope").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select("id", "scope", "v", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        ids, own = cell.column("id").to_pylist(), cell.column("own").to_numpy()
+        m = np.asarray(cell.column("v").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        lo, hi = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b, scores = [], [], []
+        for at in range(0, len(left), JOIN_STRIP):
+            strip = left[at : at + JOIN_STRIP]
+            s = np.round(m[strip] @ m[right].T, 9)
+            for i, j in zip(*np.nonzero(s >= threshold), strict=True):
+                x, y = ids[strip[i]], ids[right[j]]
+                if x < y or (lo != hi and y < x):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+                    scores.append(s[i, j])
+        id_type = cell.schema.field("id").type
+        scope = pa.array([cell.column("scope")[0].as_py()] * len(a), cell.schema.field("scope").type)
+        return pa.table([pa.array(a, id_type), pa.array(b, id_type), scope, pa.array(scores, pa.float64())], names=["id_a", "id_b", "scope", "score"])
+
+    return cells.groupBy("scope", "lo", "hi").applyInArrow(run, f"id_a {kind}, id_b {kind}, scope {scope_kind}, score double")
+
+
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, item_id, score, rank by inner product of sparse vectors (id, bucket, weight); items without overlap
     never appear. The inverted index is an equi-join on the bucket; AQE splits buckets of common words."""

@@ -184,8 +184,15 @@ def filter_selectivity(spark, d):
 
 @query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND " + _DOT.replace("q.", "a.").replace("c.", "b.") + " >= 0.2")
 def cosine_neighbours(spark, d):
-    """Similar items of one label for the stated queries; a cosine join of all rows is what dense_top's blocks are for."""
+    """Similar items of one label for the stated queries, among larger ids only; `cosine_pairs` joins all rows."""
     e = table(spark, d, "embeddings")
     a, b = (e.select(F.col("vec_id").alias(f"id_{s}"), "label", F.col("embedding").alias(s)) for s in "ab")
     pairs = a.where("id_a % 100 = 0").join(b, "label").where("id_a < id_b")
     return pairs.where(V.dot(F.col("a"), F.col("b")) >= 0.2).select("id_a", "id_b", "label")
+
+
+@query(f"SELECT q.vec_id AS id_a, c.vec_id AS id_b, q.label AS label FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id < c.vec_id WHERE round({_DOT} / ({_SIZE.format('q')} * {_SIZE.format('c')}), 9) >= 0.2")
+def cosine_pairs(spark, d):
+    """The similarity self-join: all pairs of items of one label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return R.cosine_pairs(e, 0.2).select("id_a", "id_b", F.col("scope").alias("label"))

@@ -30,6 +30,25 @@ def test_dense_top_against_brute_force(spark, monkeypatch):
             assert [(x.item_id) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == [i for _, i in want]
 
 
+def test_cosine_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "JOIN_BLOCK", 20)
+    monkeypatch.setattr(R, "JOIN_STRIP", 7)
+    r = random.Random(5)
+    rows = [(i, "ab"[i % 2], [r.gauss(0, 1) for _ in range(4)]) for i in range(150)]
+    rows += [(150, "a", [0.0] * 4), (151, "a", None), (152, None, [1.0] * 4), (153, "a", [2 * x for x in rows[4][2]])]
+    df = spark.createDataFrame(rows, "id bigint, s string, v array<double>").repartition(4)
+    got = [(x.id_a, x.id_b) for x in R.cosine_pairs(df, 0.6).collect()]
+
+    def cos(a, b):
+        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / (na * nb), 9) if na and nb else 0.0
+
+    full = [x for x in rows if x[1] and x[2]]
+    want = {(i, j) for i, s, v in full for j, s2, w in full if i < j and s == s2 and cos(v, w) >= 0.6}
+    assert len(got) == len(set(got)) and set(got) == want and (4, 153) in want
+    assert any(i % 100 for i, _ in want)
+
+
 def test_fusion_ties_and_errors(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "query_id string, item_id string, rank int")
     b = spark.createDataFrame([("q", "y", 1), ("q", "x", 2)], "query_id string, item_id string, rank int")
