@@ -11,27 +11,67 @@ def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """id_a, id_b, similarity of representatives of equal token sets (id, scope, tokens) within a scope; exact.
+def token_classes(sets: DataFrame) -> DataFrame:
+    """scope, key, id of every record (id, scope, tokens), once: records of a scope with equal tokens share the key.
+
+    A record without tokens is like no other, so its key is its own id.
+    """
+    words = F.array_sort("tokens")
+    key = F.when(F.size("tokens") > 0, F.md5(F.array_join(words, " "))).otherwise(F.col("id").cast("string"))
+    return sets.where("scope is not null and tokens is not null").select("scope", key.alias("key"), "id").distinct()
+
+
+def _alike(sets: DataFrame, threshold: float) -> DataFrame:
+    """scope, key_a, key_b, similarity of different token sets of a scope, key_a < key_b; exact.
 
     Prefix filtering: with tokens from rare to frequent, two sets that reach the threshold share one of the first
-    n - ceil(t * n) + 1, so only rare tokens are joined on. Equal sets are one representative, their smallest id.
+    n - ceil(t * n) + 1, so only rare tokens are joined on.
     """
-    named = sets.where(F.size("tokens") > 0).groupBy("scope", F.array_sort("tokens").alias("tokens")).agg(F.min("id").alias("id"))
+    words = F.array_sort("tokens")
+    named = sets.where(F.size("tokens") > 0).select("scope", F.md5(F.array_join(words, " ")).alias("key"), words.alias("tokens")).dropDuplicates(["scope", "key"])
     frequency = named.select("scope", F.explode("tokens").alias("t")).groupBy("scope", "t").agg(F.count(F.lit(1)).alias("df"))
-    placed = named.select("id", "scope", F.explode("tokens").alias("t"), F.size("tokens").alias("n")).join(frequency, ["scope", "t"])
-    w = Window.partitionBy("scope", "id").orderBy("df", "t")
+    placed = named.select("key", "scope", F.explode("tokens").alias("t"), F.size("tokens").alias("n")).join(frequency, ["scope", "t"])
+    w = Window.partitionBy("scope", "key").orderBy("df", "t")
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = placed.withColumn("i", F.row_number().over(w)).where(F.col("i") <= keep).select("id", "scope", "t", "n")
-    a, b = (prefix.select("scope", "t", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    prefix = placed.withColumn("i", F.row_number().over(w)).where(F.col("i") <= keep).select("key", "scope", "t", "n")
+    a, b = (prefix.select("scope", "t", F.col("key").alias(f"key_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     sized = (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    pairs = a.join(b, ["scope", "t"]).where(F.col("id_a") < F.col("id_b")).where(sized).select("id_a", "id_b").distinct()
-    full = named.select("id", "tokens")
+    pairs = a.join(b, ["scope", "t"]).where(F.col("key_a") < F.col("key_b")).where(sized).select("scope", "key_a", "key_b").distinct()
     for s in "ab":
-        pairs = pairs.join(full.select(F.col("id").alias(f"id_{s}"), F.col("tokens").alias(s)), f"id_{s}")
+        pairs = pairs.join(named.select("scope", F.col("key").alias(f"key_{s}"), F.col("tokens").alias(s)), ["scope", f"key_{s}"])
     shared = F.size(F.array_intersect("a", "b"))
     scored = pairs.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
-    return scored.where(F.col("similarity") >= threshold - 1e-12).select("id_a", "id_b", "similarity")
+    return scored.where(F.col("similarity") >= threshold - 1e-12).select("scope", "key_a", "key_b", "similarity")
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """id_a, id_b, similarity, scope of representatives of equal token sets (id, scope, tokens) within a scope; exact.
+
+    Equal sets are one representative, their smallest id; jaccard_members has all the records.
+    """
+    first = token_classes(sets).groupBy("scope", "key").agg(F.min("id").alias("id"))
+    pairs = _alike(sets, threshold)
+    for s in "ab":
+        pairs = pairs.join(first.select("scope", F.col("key").alias(f"key_{s}"), F.col("id").alias(s)), ["scope", f"key_{s}"])
+    return pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "similarity", "scope")
+
+
+def jaccard_members(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, scope, class_id, representative, members, links of every record (id, scope, tokens), once.
+
+    A class holds the records of a scope with equal tokens, the representative is its smallest id, and links counts the
+    other records of the scope that reach the threshold, those of the own class among them. A record is an id with its
+    tokens.
+    """
+    records = token_classes(sets)
+    classes = records.groupBy("scope", "key").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("members"))
+    pairs = _alike(sets, threshold)
+    ends = F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("other")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("other")))
+    both = pairs.select("scope", F.explode(ends).alias("e")).select("scope", "e.key", "e.other")
+    sizes = classes.select("scope", F.col("key").alias("other"), F.col("members").alias("n"))
+    beyond = both.join(sizes, ["scope", "other"]).groupBy("scope", "key").agg(F.sum("n").alias("n"))
+    linked = classes.join(beyond, ["scope", "key"], "left").withColumn("links", F.col("members") - 1 + F.coalesce("n", F.lit(0)))
+    return records.join(linked, ["scope", "key"]).select("id", "scope", F.col("key").alias("class_id"), "representative", "members", "links")
 
 
 def overlaps(spans: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFrame:

@@ -18,14 +18,29 @@ def dedupe_exact(spark, d):
     return K.newest(drafts, ["category", "form"], labels.desc(), F.length("query").desc(), F.col("query_id")).select("query_id", "category")
 
 
+def _token_sets(spark, d):
+    drafts = table(spark, d, "golden_draft").where("query is not null and category is not null")
+    return drafts.select(F.col("query_id").alias("id"), F.col("category").alias("scope"), T.token_set(F.col("query")).alias("tokens"))
+
+
 @query(
     f"""WITH s AS (SELECT min(query_id) AS id, category AS scope, tokens FROM (SELECT query_id, category, list_sort(list_distinct(regexp_extract_all(lower(query), '{T.WORD}'))) AS tokens FROM golden_draft WHERE query IS NOT NULL AND category IS NOT NULL) WHERE len(tokens) > 0 GROUP BY scope, tokens)
     SELECT id_a, id_b, round(x / u, 6) AS similarity FROM (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.tokens, b.tokens)) AS x, len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)) AS u FROM s a JOIN s b ON a.scope = b.scope AND a.id < b.id) WHERE x / u >= 0.8 - 1e-12"""
 )
 def dedupe_jaccard(spark, d):
-    drafts = table(spark, d, "golden_draft").where("query is not null and category is not null")
-    sets = drafts.select(F.col("query_id").alias("id"), F.col("category").alias("scope"), T.token_set(F.col("query")).alias("tokens"))
-    return K.jaccard_pairs(sets, 0.8).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of representatives; `dedupe_members` has every draft with its class."""
+    return K.jaccard_pairs(_token_sets(spark, d), 0.8).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT query_id, category, tokens, CASE WHEN len(tokens) > 0 THEN md5(array_to_string(tokens, ' ')) ELSE query_id END AS class_id FROM (SELECT query_id, category, list_sort(list_distinct(regexp_extract_all(lower(query), '{T.WORD}'))) AS tokens FROM golden_draft WHERE query IS NOT NULL AND category IS NOT NULL)),
+    l AS (SELECT a.query_id, a.category, a.class_id, count(*) AS links FROM r a JOIN r b ON a.category = b.category AND (a.query_id <> b.query_id OR a.class_id <> b.class_id) WHERE len(list_intersect(a.tokens, b.tokens)) >= (0.8 - 1e-12) * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) AND len(a.tokens) > 0 AND len(b.tokens) > 0 GROUP BY ALL)
+    SELECT query_id, category, class_id, min(query_id) OVER (PARTITION BY category, class_id) AS representative, count(*) OVER (PARTITION BY category, class_id) AS members, coalesce(links, 0) AS links FROM r LEFT JOIN l USING (query_id, category, class_id)"""
+)
+def dedupe_members(spark, d):
+    """Every draft with its class of equal token sets and the number of drafts of its category at 0.8 or more."""
+    found = K.jaccard_members(_token_sets(spark, d), 0.8)
+    return found.select(F.col("id").alias("query_id"), F.col("scope").alias("category"), "class_id", "representative", "members", "links")
 
 
 _SPANS = "SELECT i.item_id, d.doc_id, instr(d.text, i.text) - 1 AS s, instr(d.text, i.text) - 1 + length(i.text) AS e FROM eval_item i JOIN documents d ON contains(d.text, i.text)"

@@ -145,6 +145,24 @@ def test_jaccard_against_brute_force(spark):
     assert got == want
 
 
+def test_jaccard_members_against_all_records(spark):
+    r = random.Random(4)
+    rows = [(f"i{n % 140:03d}", "a" if n % 3 else "b", sorted({f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 6))})) for n in range(150)]
+    rows += rows[:5] + [("i000", "a", ["w1", "w2"]), ("i001", "b", ["w2", "w1"]), ("i002", "a", ["w1", "w2"])]
+    df = spark.createDataFrame(rows, "id string, scope string, tokens array<string>")
+    records = {(i, s, tuple(sorted(t))) for i, s, t in rows}
+    want = []
+    for i, s, t in records:
+        own = sorted(j for j, s2, u in records if s2 == s and u == t) if t else [i]
+        links = sum((j, u) != (i, t) and s2 == s and bool(t) and bool(u) and len({*t} & {*u}) >= 0.8 * len({*t} | {*u}) - 1e-12 for j, s2, u in records)
+        want.append((i, s, own[0], len(own), links))
+    got = K.jaccard_members(df, 0.8).collect()
+    assert sorted((x.id, x.scope, x.representative, x.members, x.links) for x in got) == sorted(want)
+    assert any(x.members > 1 for x in got)
+    scoped = spark.createDataFrame([("x", "a", ["p"] * 1), ("x", "b", ["q", "r", "s", "t"]), ("y", "b", ["q", "r", "s", "t", "u"])], "id string, scope string, tokens array<string>")
+    assert [tuple(x) for x in K.jaccard_pairs(scoped, 0.8).collect()] == [("x", "y", 0.8, "b")]
+
+
 def test_upsert_and_changes(spark):
     store = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     fresh = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
