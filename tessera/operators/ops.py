@@ -15,6 +15,26 @@ def as_of(df: DataFrame, group: str, order: list[str], wanted: Column, value: st
     return df.withColumn(out, F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(w))
 
 
+def questions(messages: DataFrame) -> DataFrame:
+    """id, conversation_id, question_id of each assistant message (id, conversation_id, role, created_at, user_message_id).
+
+    A keyed answer belongs to the message that its key names, and to none if there is no such message. Only an answer
+    without key takes the latest user message of its conversation up to its own time, the greater id first.
+    """
+    rows = messages.select("id", "conversation_id", "role", "created_at", "user_message_id").distinct()
+    answers = rows.where("role = 'assistant'")
+    known = rows.where("id is not null").select(F.col("id").alias("question_id")).distinct()
+    keyed = answers.where("user_message_id is not null").join(known, F.col("user_message_id") == F.col("question_id"), "left")
+    rest = rows.where("role = 'user' or (role = 'assistant' and user_message_id is null)")
+    # Messages of the same time count as earlier, whatever their ids.
+    w = Window.partitionBy("conversation_id").orderBy("created_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = (F.col("role") == "user") & F.col("created_at").isNotNull()
+    latest = F.max(F.when(asked, F.struct("created_at", "id"))).over(w)["id"]
+    known_place = F.col("conversation_id").isNotNull() & F.col("created_at").isNotNull()
+    timed = rest.withColumn("question_id", F.when(known_place, latest)).where("role = 'assistant'")
+    return keyed.select("id", "conversation_id", "question_id").unionByName(timed.select("id", "conversation_id", "question_id"))
+
+
 def last_rows(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The last n rows of each group in the given (descending) order; Spark limits each task before the shuffle."""
     return df.withColumn("age", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("age") <= n)

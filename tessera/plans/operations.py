@@ -15,10 +15,21 @@ EDGES = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0]
     SELECT id, conversation_id, last_value(CASE WHEN role = 'user' THEN id END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS question_id FROM m QUALIFY role = 'assistant'"""
 )
 def asof_questions(spark, d):
+    """Questions by time alone; `answer_questions` goes by the key first."""
     rows = table(spark, d, "message").where("conversation_id is not null and created_at is not null").select("id", "conversation_id", "role", "created_at", "content").distinct()
     return O.as_of(rows, "conversation_id", ["created_at", "id"], F.col("role") == "user", "id", "question_id").where("role = 'assistant'").select("id", "conversation_id", "question_id")
 
 
+@query(
+    """WITH m AS (SELECT DISTINCT id, conversation_id, role, created_at, user_message_id FROM message)
+    SELECT a.id, a.conversation_id, CASE WHEN a.user_message_id IS NOT NULL THEN max(k.id) ELSE arg_max(u.id, (u.created_at, u.id)) END AS question_id FROM m a LEFT JOIN (SELECT DISTINCT id FROM m) k ON k.id = a.user_message_id
+    LEFT JOIN m u ON a.user_message_id IS NULL AND u.role = 'user' AND u.conversation_id = a.conversation_id AND u.created_at <= a.created_at WHERE a.role = 'assistant' GROUP BY a.id, a.conversation_id, a.created_at, a.user_message_id"""
+)
+def answer_questions(spark, d):
+    """Each answer's question by its key, and by time only where there is no key."""
+    return O.questions(table(spark, d, "message"))
+
+
 @query("SELECT tenant_id, id, age::INT AS age FROM (SELECT tenant_id, id, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, id DESC) AS age FROM (SELECT DISTINCT tenant_id, id, created_at FROM message WHERE tenant_id IS NOT NULL AND content IS NOT NULL AND trim(content) <> '')) WHERE age <= 10")
 def last_history(spark, d):
     rows = table(spark, d, "message").where("tenant_id is not null and content is not null and trim(content) <> ''").select("tenant_id", "id", "created_at").distinct()

@@ -171,6 +171,18 @@ def test_upsert_and_changes(spark):
     assert dict(map(tuple, K.snapshot_changes(store, fresh, "id", "v").collect())) == {1: "removed", 2: "changed", 3: "added"}
 
 
+def test_questions_go_by_key_first(spark):
+    rows = [
+        ("u1", "c", "user", 1, None), ("u2", "c", "user", 2, None), ("a1", "c", "assistant", 3, "u1"), ("a2", "c", "assistant", 4, "u2"),
+        ("a3", "c", "assistant", 5, None), ("a4", "c", "assistant", 6, "gone"), ("a5", "d", "assistant", 1, None), ("a6", None, "assistant", 1, "u1"),
+        ("a7", None, "assistant", 9, None), ("a8", "e", "assistant", 7, None), ("z9", "e", "user", 7, None), ("u0", "e", "user", 7, None), ("a9", "e", "assistant", 6, None), ("a1", "c", "assistant", 3, "u1"),
+    ]
+    df = spark.createDataFrame(rows, "id string, conversation_id string, role string, created_at int, user_message_id string").repartition(4)
+    got = O.questions(df).collect()
+    want = {"a1": "u1", "a2": "u2", "a3": "u2", "a4": None, "a5": None, "a6": "u1", "a7": None, "a8": "z9", "a9": None}
+    assert len(got) == len(want) and {r.id: r.question_id for r in got} == want
+
+
 def test_token_bucket_and_breaker(spark):
     times = [("u", float(t), i) for i, t in enumerate([0, 1, 2, 3, 30, 31, 90])] + [("v", 0.0, 9)]
     df = spark.createDataFrame(times, "u string, s double, i int")
