@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .answers import resamples
+
 #: Cumulative chances of 0, 1, .. events at rate one.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+#: Numbers that are drawn at once, and groups whose sums a task holds.
+DRAWN, GROUPS_HELD = 400_000, 200
 
 
 def confusion(pairs: DataFrame, labels: list[str], a: str, b: str, weight: str) -> DataFrame:
@@ -96,6 +104,84 @@ def bootstrap(pairs: DataFrame, key: Column, draws: int = 200, level: float = 0.
     return placed.groupBy("metric").agg(F.round(F.max(F.when(F.col("i") == low, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == high, F.col("m"))), 6).alias("high"))
 
 
+def poisson_weights(seeds: np.ndarray, draws: int) -> np.ndarray:
+    """Weights at rate one, a row a seed and a column a draw, the same wherever they are drawn (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    out = np.zeros(z.shape, np.uint8)
+    for p in POISSON:
+        out += z >= np.uint64(int(p * 2**64))
+    return out
+
+
+def resample_sums(df: DataFrame, group: str, value: str, key: Column, draws: int) -> DataFrame:
+    """group, draw, k, kv: the rows' Poisson weights, and weights times values, summed for each resample.
+
+    A row's weights come from a hash of its key. Each task sums its own rows, so the shuffle carries one row a task,
+    group and draw, whatever the number of rows. A missing value counts as 0.
+    """
+    rows = df.select(F.col(group).alias("g"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.xxhash64(key.cast("string")).alias("h"))
+    kind = rows.schema["g"].dataType.simpleString()
+    strip = max(1, DRAWN // draws)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kind = None
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for g, (k, kv) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g] * draws, kind), pa.array(np.arange(draws, dtype=np.int32)), pa.array(k), pa.array(kv)], names=["g", "draw", "k", "kv"])
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            names = batch.column(0).to_pylist()
+            v, h = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            places: dict = {}
+            for i, g in enumerate(names):
+                places.setdefault(g, []).append(i)
+            for g, own in places.items():
+                if g not in held and len(held) >= GROUPS_HELD:
+                    yield from flushed()
+                k, kv = held.setdefault(g, (np.zeros(draws), np.zeros(draws)))
+                for at in range(0, len(own), strip):
+                    some = own[at : at + strip]
+                    w = poisson_weights(h[some], draws)
+                    k += w.sum(axis=0, dtype=np.float64)
+                    kv += v[some] @ w.astype(np.float64)
+        yield from flushed()
+
+    parts = rows.mapInArrow(run, f"g {kind}, draw int, k double, kv double")
+    return parts.groupBy(F.col("g").alias(group), "draw").agg(F.sum("k").alias("k"), F.sum("kv").alias("kv"))
+
+
+def bounds(means: DataFrame, groups: list[str], tail: float, shift: int = 0) -> DataFrame:
+    """groups.., low, high of the draws' statistic m (a row a draw), each a shift below its place."""
+    own = Window.partitionBy(*groups or [F.lit(0)])
+    placed = means.where("m is not null").withColumn("i", F.row_number().over(own.orderBy("m")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+    low = F.greatest(F.lit(0), F.floor(F.col("n") * tail + 1e-9) - shift)
+    high = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * (1 - tail) + 1e-9) - shift))
+    return placed.groupBy(*groups).agg(F.round(F.max(F.when(F.col("i") == low, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == high, F.col("m"))), 6).alias("high"))
+
+
+def intervals(pairs: DataFrame, key: Column, draws: int | None = None, level: float = 0.95) -> DataFrame:
+    """metric, low, high of the mean difference over 10 000 resamples, or more if a tail needs them."""
+    tail = (1 - level) / 2
+    sums = resample_sums(pairs.where("diff is not null"), "metric", "diff", key, draws or resamples(tail, start=10_000))
+    return bounds(sums.where("k > 0").select("metric", (F.col("kv") / F.col("k")).alias("m")), ["metric"], tail)
+
+
+def unpaired_interval(df: DataFrame, side: str, left: str, right: str, value: str, key: Column, draws: int | None = None, level: float = 0.95) -> DataFrame:
+    """low, high of the left side's mean less the right one's, each resampled by itself; places are one less than of pairs."""
+    tail = (1 - level) / 2
+    sums = resample_sums(df.where(F.col(side).isin(left, right) & F.col(value).isNotNull()), side, value, key, draws or resamples(tail, start=10_000))
+    of = lambda which: F.max(F.when((F.col(side) == which) & (F.col("k") > 0), F.col("kv") / F.col("k")))  # noqa: E731  one row a draw and side
+    return bounds(sums.groupBy("draw").agg((of(left) - of(right)).alias("m")), [], tail, 1)
+
+
 def verdict(comparison: DataFrame, intervals: DataFrame, alpha: float = 0.05) -> DataFrame:
     """metric, verdict: identical, underpowered, real difference, within noise, contradictory or inconclusive."""
     both = comparison.join(intervals, "metric")
@@ -150,14 +236,11 @@ def comparable(a: DataFrame, b: DataFrame, key: str, digest: str) -> DataFrame:
     )
 
 
-def stratified_bootstrap(df: DataFrame, stratum: str, weight: str, value: str, key: Column, draws: int = 200, level: float = 0.95) -> DataFrame:
-    """low, high of a weighted mean, resampled within strata with Poisson weights from hashes of the key."""
-    spread = df.select(stratum, weight, value, F.md5(key.cast("string")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = F.conv(F.substring(F.md5(F.concat("h", F.lit("/"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    drawn = spread.withColumn("k", sum(((u >= p).cast("int") for p in POISSON), F.lit(0)))
-    sums = drawn.groupBy("draw", stratum).agg((F.sum(F.col("k") * F.col(value)) / F.nullif(F.sum("k"), F.lit(0))).alias("m"), F.sum(weight).alias("w"))
-    means = sums.where("m is not null").groupBy("draw").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("m"))
-    placed = means.withColumn("i", F.row_number().over(Window.orderBy("m")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row a draw
+def stratified_bootstrap(df: DataFrame, stratum: str, weight: str, value: str, key: Column, draws: int | None = None, level: float = 0.95) -> DataFrame:
+    """low, high of a weighted mean, resampled within strata with Poisson weights from hashes of the key, as often as a
+    tail needs."""
     tail = (1 - level) / 2
-    low, high = F.floor(F.col("n") * tail), F.least(F.col("n") - 1, F.floor(F.col("n") * (1 - tail)))
-    return placed.agg(F.round(F.max(F.when(F.col("i") == low, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == high, F.col("m"))), 6).alias("high"))
+    totals = df.groupBy(F.col(stratum).alias("_s")).agg(F.sum(weight).alias("w"))
+    sums = resample_sums(df, stratum, value, key, draws or resamples(tail)).where("k > 0").join(totals, F.col(stratum).eqNullSafe(F.col("_s")))
+    means = sums.groupBy("draw").agg((F.sum(F.col("kv") / F.col("k") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    return bounds(means, [], tail)

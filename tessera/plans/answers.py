@@ -86,6 +86,7 @@ _W = " + ".join(f"(u >= {p})::INT" for p in S.POISSON)
     SELECT round(max(d) FILTER (i = 1), 6) AS low, round(max(d) FILTER (i = 48), 6) AS high FROM o"""
 )
 def unpaired_bootstrap(spark, d):
+    """50 resamples, as SQL can check them; `unpaired_interval` draws enough."""
     e = table(spark, d, "events").where("event_type in ('click', 'view') and value is not null")
     rows = e.select("event_type", "value", F.md5(F.col("event_id").cast("string")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("draw"))
     u = F.conv(F.substring(F.md5(F.concat("h", F.lit("/"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -99,6 +100,11 @@ def unpaired_bootstrap(spark, d):
     return means.agg(F.round(F.max(F.when(F.col("i") == 1, F.col("d"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == 48, F.col("d"))), 6).alias("high"))
 
 
+@query()
+def unpaired_interval(spark, d):
+    return S.unpaired_interval(table(spark, d, "events"), "event_type", "click", "view", "value", F.col("event_id"))
+
+
 @query(f"SELECT doc_id, n::BIGINT AS words, round(1 - 256 / n, 6) AS lost FROM (SELECT doc_id, len(regexp_extract_all(text, '{T.WORD}')) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 256 ORDER BY lost DESC, doc_id LIMIT 10")
 def worst_truncations(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_count("text", F.lit(T.WORD)).cast("bigint").alias("words"))

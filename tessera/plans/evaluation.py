@@ -168,6 +168,7 @@ _DRAWS = _BOTH + """, w AS (SELECT metric, diff, r.draw, ('0x' || substr(md5(md5
 
 @query(_DRAWS + " SELECT * FROM t")
 def branch_bootstrap(spark, d):
+    """200 resamples, as SQL can check them; `branch_intervals` draws enough."""
     return S.bootstrap(_sides(spark, d), F.col("query_id"))
 
 
@@ -176,10 +177,22 @@ def branch_bootstrap(spark, d):
     WHEN (low > 0 OR high < 0) AND p <= 0.05 THEN 'contradictory' WHEN NOT (low > 0 OR high < 0) AND p > 0.05 THEN 'within noise' ELSE 'inconclusive' END AS verdict FROM c JOIN t USING (metric)"""
 )
 def branch_verdict(spark, d):
+    """By the 200 resamples of `branch_bootstrap`; `branch_decisions` draws enough."""
     pairs = _sides(spark, d)
     return S.verdict(S.compared(pairs), S.bootstrap(pairs, F.col("query_id")))
 
 
+@query()
+def branch_intervals(spark, d):
+    return S.intervals(_sides(spark, d), F.col("query_id"))
+
+
+@query()
+def branch_decisions(spark, d):
+    pairs = _sides(spark, d)
+    return S.verdict(S.compared(pairs), S.intervals(pairs, F.col("query_id")))
+
+
 @query("SELECT ref, stratum, round(n / least(n, 20), 6) AS weight FROM (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY md5('7/' || ref), ref) AS i FROM (SELECT DISTINCT ref, stratum FROM faith_sealed)) WHERE i <= 20")
 def stratified_sample(spark, d):
     refs = table(spark, d, "faith_sealed").select("ref", "stratum").distinct()

@@ -1,6 +1,7 @@
 import random
 from math import comb, log2
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,38 @@ def test_mcnemar_is_exact(spark):
         assert r.p == pytest.approx(want)
 
 
+def test_resamples_fill_the_tails(spark, monkeypatch):
+    from statistics import NormalDist
+
+    w = S.poisson_weights(np.array([-5, 7, 2**62]), 20_000)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and np.abs(np.corrcoef(w) - np.eye(3)).max() < 0.03
+    r = random.Random(6)
+    rows = [(f"q{i}", m, r.gauss(0.1, 1)) for i in range(400) for m in ("x", "y")]
+    df = spark.createDataFrame(rows, "q string, metric string, diff double").repartition(4)
+    asked = []
+    sums = S.resample_sums
+    monkeypatch.setattr(S, "resample_sums", lambda *a: asked.append(a[-1]) or sums(*a))
+    got = {x.metric: x for x in S.intervals(df, F.col("q")).collect()}
+    seeds = {x.q: x.h for x in df.select("q", F.xxhash64("q").alias("h")).collect()}
+    z = NormalDist().inv_cdf(0.975)
+    for m in ("x", "y"):
+        own = [(q, v) for q, n, v in rows if n == m]
+        weights = S.poisson_weights(np.array([seeds[q] for q, _ in own]), 10_000).astype(float)
+        v = np.array([v for _, v in own])
+        means = sorted((v @ weights / weights.sum(axis=0)).tolist())
+        assert got[m].low == pytest.approx(means[250], abs=2e-6) and got[m].high == pytest.approx(means[9750], abs=2e-6)
+        error = v.std() / len(v) ** 0.5
+        assert abs(got[m].low - (v.mean() - z * error)) < 0.15 * error and abs(got[m].high - (v.mean() + z * error)) < 0.15 * error
+    two = S.unpaired_interval(df, "metric", "x", "y", "diff", F.concat("metric", "q")).first()
+    x, y = (np.array([v for _, n, v in rows if n == m]) for m in ("x", "y"))
+    error = (x.var() / len(x) + y.var() / len(y)) ** 0.5
+    assert abs(two.low - (x.mean() - y.mean() - z * error)) < 0.15 * error and abs(two.high - (x.mean() - y.mean() + z * error)) < 0.15 * error
+    one = S.stratified_bootstrap(df.withColumn("w", F.lit(1.0)), "metric", "w", "diff", F.concat("metric", "q")).first()
+    middle, error = (x.mean() + y.mean()) / 2, error / 2
+    assert abs(one.low - (middle - z * error)) < 0.15 * error and abs(one.high - (middle + z * error)) < 0.15 * error
+    assert asked == [10_000, 10_000, 5_120]
+
+
 def test_kappa_and_unknown_label(spark):
     pairs = spark.createDataFrame([("x", "x", 2.0), ("x", "y", 1.0), ("y", "y", 3.0)], "a string, b string, weight double")
     got = S.agreement(S.confusion(pairs, ["x", "y"], "a", "b", "weight")).first()
