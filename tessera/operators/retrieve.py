@@ -129,6 +129,18 @@ def cosine_pairs(items: DataFrame, threshold: float) -> DataFrame:
     return cells.groupBy("scope", "lo", "hi").applyInArrow(run, f"id_a {kind}, id_b {kind}, scope {scope_kind}, score double")
 
 
+def cached(queries: DataFrame, entries: DataFrame, threshold: float = 0.96) -> DataFrame:
+    """query_id, found, score of each query's most similar entry; null where none reaches the threshold.
+
+    Both sides have (id, namespace, vector, guard). Only an entry of the same namespace with an equal guard (the digit
+    tokens of the text) counts, and never the query itself; equal scores go to the smaller id.
+    """
+    q, e = queries.toDF("query_id", "space", "a", "guard"), entries.toDF("found", "space", "b", "guard")
+    pairs = q.join(e, ["space", "guard"]).where("query_id <> found").withColumn("s", V.cosine(F.col("a"), F.col("b"))).where(F.col("s") >= threshold)
+    best = pairs.withColumn("s", F.round("s", 6)).groupBy("query_id").agg(F.min_by("found", F.struct(-F.col("s"), F.col("found"))).alias("found"), F.max("s").alias("score"))
+    return q.select("query_id").join(best, "query_id", "left")
+
+
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, item_id, score, rank by inner product of sparse vectors (id, bucket, weight); items without overlap
     never appear. The inverted index is an equi-join on the bucket; AQE splits buckets of common words."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import answers as A
+from ..operators import retrieve as R
 from ..operators import stats as S
 from ..sources.tables import table
 from .registry import query
@@ -69,6 +70,7 @@ _E = "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]
 
 @query(f"SELECT q.vec_id AS query_id, arg_max(c.vec_id, (round({_E}, 6), -c.vec_id)) AS found, round(max({_E}), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id")
 def cache_lookup(spark, d):
+    """The best entry, however far; `cache_hits` has the threshold."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("a"))
     c = e.select("vec_id", "label", F.col("embedding").alias("b"))
@@ -76,6 +78,17 @@ def cache_lookup(spark, d):
     return pairs.groupBy("query_id").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("found"), F.max("s").alias("score"))
 
 
+_LENGTH = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+_COSINE = f"{_E} / nullif({_LENGTH.format('q')} * {_LENGTH.format('c')}, 0)"
+
+
+@query(f"SELECT q.vec_id AS query_id, h.found, h.score FROM embeddings q LEFT JOIN (SELECT q.vec_id AS id, arg_min(c.vec_id, (-round({_COSINE}, 6), c.vec_id)) AS found, round(max({_COSINE}), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 AND {_COSINE} >= 0.96 GROUP BY q.vec_id) h ON h.id = q.vec_id WHERE q.vec_id % 100 = 0")
+def cache_hits(spark, d):
+    """The entry at 0.96 or more, or none. The embeddings have no texts, so every guard is empty here."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.array().cast("array<string>").alias("guard"))
+    return R.cached(e.where("vec_id % 100 = 0"), e)
+
+
 _W = " + ".join(f"(u >= {p})::INT" for p in S.POISSON)
 
 

@@ -89,6 +89,21 @@ def truncation_stats(spark, d):
     return sets.agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("n") > 256).alias("truncated"), F.sum("n").alias("tokens"), kept.alias("kept"), F.round(1 - kept / F.nullif(F.sum("n"), F.lit(0)), 6).alias("lost")).withColumnRenamed("c", "n")
 
 
+_AT = "list_sort(list({0}))[round_even({1} * (count({0}) - 1), 0)::INT + 1]"
+
+
+@query(
+    f"""WITH t AS (SELECT lang, length(text) AS chars, len(regexp_extract_all(text, '{T.WORD}')) AS n FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT grouping(lang) = 1 AS overall, lang, count(*) AS texts, count(*) FILTER (n > 256) AS truncated, sum(n)::BIGINT AS tokens, sum(least(n, 256))::BIGINT AS kept, round(1 - sum(least(n, 256)) / nullif(sum(n), 0), 6) AS lost,
+    {_AT.format('n', 0.5)}::INT AS p50, {_AT.format('n', 0.95)}::INT AS p95, max(n)::INT AS longest, list_sort(list(chars / n) FILTER (n > 0))[round_even(0.05 * (count(*) FILTER (n > 0) - 1), 0)::INT + 1] AS d FROM t GROUP BY GROUPING SETS ((), (lang))),
+    b AS (SELECT *, floor(254 * coalesce(d, 0))::BIGINT AS budget FROM s), g AS (SELECT *, greatest(0, budget - 200)::BIGINT AS suggested FROM b)
+    SELECT overall, lang, texts, truncated, tokens, kept, lost, p50, p95, longest, budget, suggested, round(d, 6) AS density_p05, min(suggested) FILTER (NOT overall) OVER () AS safe FROM g"""
+)
+def truncation_report(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return M.token_report(docs.select("lang", F.regexp_count("text", F.lit(T.WORD)).alias("n"), F.length("text").alias("chars")), 256)
+
+
 @query("SELECT category, lang, reviewed, count(*) AS n FROM (SELECT category, lang, reviewed_by_human::VARCHAR AS reviewed FROM golden_draft) GROUP BY GROUPING SETS ((category), (lang), (category, reviewed))")
 def draft_summary(spark, d):
     drafts = table(spark, d, "golden_draft").select("category", "lang", F.col("reviewed_by_human").cast("string").alias("reviewed"))

@@ -50,6 +50,23 @@ def test_cosine_pairs_against_brute_force(spark, monkeypatch):
     assert any(i % 100 for i, _ in want)
 
 
+def test_cache_needs_similarity_and_equal_digits(spark):
+    rows = [(1, "a", [1.0, 0.0], ["5"]), (2, "a", [2.0, 0.1], ["5"]), (3, "a", [1.0, 0.0], ["6"]), (4, "b", [1.0, 0.0], ["5"]), (5, "a", [0.0, 1.0], ["5"]), (6, "a", [0.0, 0.0], ["5"])]
+    df = spark.createDataFrame(rows, "id int, space string, v array<double>, guard array<string>")
+    got = {r.query_id: r.found for r in R.cached(df, df).collect()}
+    assert got == {1: 2, 2: 1, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_token_report(spark):
+    rows = [("vi", n, 3 * n) for n in range(1, 41)] + [("en", n, 5 * n) for n in (10, 20, 30)] + [("en", 0, 7)]
+    df = spark.createDataFrame(rows, "lang string, n int, chars int").repartition(3)
+    got = {(r.overall, r.lang): r for r in M.token_report(df, 30, 2, 10).collect()}
+    vi, en, both = got[False, "vi"], got[False, "en"], got[True, None]
+    assert (vi.p50, vi.p95, vi.longest, vi.truncated, vi.budget, vi.suggested) == (21, 38, 40, 10, 84, 64)
+    assert (en.p50, en.density_p05, en.budget, en.suggested, en.truncated) == (20, 5.0, 140, 120, 0)
+    assert both.texts == 44 and both.safe == 64 and both.density_p05 == 3.0
+
+
 def test_fusion_ties_and_errors(spark):
     a = spark.createDataFrame([("q", "x", 1), ("q", "y", 2)], "query_id string, item_id string, rank int")
     b = spark.createDataFrame([("q", "y", 1), ("q", "x", 2)], "query_id string, item_id string, rank int")
