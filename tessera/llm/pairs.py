@@ -165,35 +165,38 @@ def judged_pairs(pairs: DataFrame, model: LanguageModel) -> DataFrame:
 def shortened(texts: DataFrame) -> DataFrame:
     """The keys of texts (key, form) that a longer text begins with and goes on from, inside a word or sentence.
 
-    Equal texts count once, so popular ones can't fill a task; the rest is sorted by range. In sorted order a longer
-    version follows next, so each text meets one neighbour, across the border of two parts as well.
+    Equal texts count once, so popular ones can't fill a task; the rest is sorted by range. In sorted order all longer
+    versions follow next, so a text stays pending while the following ones begin with it. What is still pending at the
+    end of a part, and goes on in the next one, meets all texts.
     """
     once = texts.where("form <> ''").groupBy("key").agg(F.first("form").alias("form"))
     ordered = once.repartitionByRange("form").sortWithinPartitions("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last, out = None, None, []
+        start, pending = None, []
         for batch in batches:
+            out = []
             for key, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if last is None:
-                    first = (key, form)
-                elif goes_on(last[1], form):
-                    out.append((last[0], "shortened", None))
-                last = (key, form)
+                start = form if start is None else start
+                while pending and not form.startswith(pending[-1][1]):
+                    pending.pop()
+                out += [(k, "shortened", None, None) for k, f in pending if goes_on(f, form)]
+                pending = [(k, f) for k, f in pending if not goes_on(f, form)] + [(key, form)]
             yield _rows(out)
-            out = []
-        if first:
-            yield _rows([(first[0], "first", first[1]), (last[0], "last", last[1])])
+        if start is not None:
+            yield _rows([(k, "pending", f, start) for k, f in pending])
 
     def _rows(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["key", "what", "form"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["key", "what", "form", "start"])
 
-    seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, form string"))
-    # First and last text of every part, in order: two rows for each part.
-    borders = seen.where("what <> 'shortened'").withColumn("after", F.lead("form").over(Window.orderBy("form", F.col("what").desc())))
+    seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, form string, start string"))
+    # The last texts of every part that begin one another, with the first text of their part and of the next one.
+    ends = seen.where("what = 'pending'").select("key", "form", "start")
+    starts = ends.select("start").distinct().withColumn("after", F.lead("start").over(Window.orderBy("start")))  # a row a part
+    open_ = ends.join(starts, "start").where("after is not null").where(F.col("after").startswith(F.col("form"))).select("key", F.col("form").alias("text"))
     test = F.udf(lambda text, after: goes_on(text, after), "boolean")
-    crossing = borders.where("what = 'last' and after is not null").where(F.col("after").startswith(F.col("form"))).where(test("form", "after"))
-    return seen.where("what = 'shortened'").select("key").unionByName(crossing.select("key")).distinct()
+    met = texts.select("form").join(F.broadcast(open_), F.col("form").startswith(F.col("text")) & (F.length("form") > F.length("text")))
+    return seen.where("what = 'shortened'").select("key").unionByName(met.where(test("text", "form")).select("key")).distinct()
 
 
 def goes_on(text: str, after: str) -> bool:

@@ -83,6 +83,16 @@ def test_shortened_neighbours_across_parts(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_shortened_stays_pending_and_crosses_lone_texts(spark):
+    lone = spark.createDataFrame([("cut", "It is a wor"), ("whole", "It is a word.")], "key string, form string")
+    assert {r.key for r in pairs.shortened(lone).collect()} == {"cut"}
+    rows = [(f"{n}{k}", f"Item {n} costs 3.{rest}") for n in range(10, 40) for k, rest in (("a", ""), ("b", " More"), ("c", " More still."), ("d", "5 million."))]
+    rows += [("e", "It ends."), ("f", "It ends. Then more."), ("g", "It ends. Then other.")]
+    df = spark.createDataFrame(rows, "key string, form string").repartition(3)
+    want = {k for k, f in rows if any(pairs.goes_on(f, g) for _, g in rows)}
+    assert {r.key for r in pairs.shortened(df).collect()} == want and "10a" in want and "e" not in want
+
+
 def test_defects(spark, model):
     q = "What did the ministry report about the new road"
     turns = [(str(i), q) for i in range(9)] + [("0", q), ("10", q), ("none", q), (None, q), ("9", None)]
