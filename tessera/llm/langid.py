@@ -38,7 +38,6 @@ FIT_ROWS = 600
 NAME_WEIGHT, CLIP, CHANGE = 0.2, 3.0, 7.0
 #: Words and evidence (log units over the next language) that a whole sentence of another language needs.
 LEAST_WORDS, LEAST_EVIDENCE = 5, 5.0
-WINDOW = 9
 #: A record is flagged ambiguous where the best codeword leads by less than this.
 AMBIGUOUS = 0.7
 REMEMBERED = 300_000
@@ -169,13 +168,8 @@ class LanguageModel:
         return found
 
     def several(self, rows: np.ndarray) -> bool:
-        """Whether some window of words points to another language than the rest; only then are spans worth finding."""
-        if len(rows) < 2 * LEAST_WORDS:
-            return False
-        sums = np.cumsum(np.concatenate((np.zeros((1, len(LANGS))), rows)), axis=0)
-        width = min(WINDOW, len(rows) // 2)
-        windows = (sums[width:] - sums[:-width]).argmax(axis=1)
-        return bool((windows != windows[0]).any())
+        """Whether a text has room for whole sentences in two languages; shorter ones have one language."""
+        return len(rows) >= 2 * LEAST_WORDS
 
     def judged(self, rows: np.ndarray) -> tuple[str | None, float, bool]:
         """Language, confidence and whether it is ambiguous, of a text's words; no language without a word."""

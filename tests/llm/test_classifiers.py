@@ -145,3 +145,12 @@ def test_abuse_without_labels():
 
 def test_canonical_before_judging(model):
     assert model.judged(model.evidence(model.find(Canonical()(["​".join(" ".join(EN))])[0])))[0] == "en"
+
+
+def test_short_sentence_amid_stronger_words_is_mixed():
+    model = object.__new__(langid.LanguageModel)
+    strong, weak = np.zeros((20, len(langid.LANGS))), np.zeros((5, len(langid.LANGS)))
+    strong[:, 0], weak[:, 1] = 8.0, 6.0
+    rows = np.concatenate((strong, weak, strong))
+    assert model.judged(rows)[0] == langid.MIXED
+    assert model.judged(strong)[0] == langid.LANGS[0] and model.judged(rows[16:25])[0] == langid.LANGS[0]
