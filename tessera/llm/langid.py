@@ -8,7 +8,7 @@ without accents is a class of its own that is reported as vi.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +58,22 @@ def codewords(classes: int) -> np.ndarray:
     return np.array(rows, np.float64).T
 
 
-def _grams(word: str) -> list[int]:
-    import xxhash
-
-    framed = f"\x02{word}\x03"
-    out = []
-    for n in GRAMS:
-        for i in range(len(framed) - n + 1):
-            out.append(xxhash.xxh32_intdigest(framed[i : i + n], n) % BUCKETS)
-    return out
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of all words, one word after the other, and how many each word has."""
+    framed = [f"\x02{w}\x03" for w in words]
+    codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, framed), np.int64, len(framed))
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))  # characters up to the word's end
+    buckets, real = np.zeros((len(codes), len(GRAMS)), np.int64), np.zeros((len(codes), len(GRAMS)), bool)
+    with np.errstate(over="ignore"):
+        for g, n in enumerate(GRAMS):
+            h = np.full(len(codes), n, np.uint64)
+            for i in range(n):
+                h[: len(codes) - i] = (h[: len(codes) - i] ^ codes[i:]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            buckets[:, g], real[:, g] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)) % np.uint64(BUCKETS), left >= n
+    return buckets[real], np.add.reduceat(real.sum(axis=1), ends - lengths) if len(words) else lengths
 
 
 def without_accents(text: str) -> str:
@@ -90,20 +97,29 @@ class LanguageModel:
 
         self.code = codewords(len(CLASSES))
         self.word = regex.compile(WORD).findall
-        self.run = regex.compile(rf"\S{{{LONGEST_RUN + 1},}}")
         self.known: dict[str, int] = {}
+        self.tokens: dict[str, list[int]] = {}
         self.table = np.zeros((1024, len(LANGS)))
 
-    def find(self, text: str) -> list[str]:
-        """The words of a text, without those in unbroken runs that no language writes (encoded data, addresses)."""
-        return self.word(self.run.sub(" ", text))
+    def rows(self, text: str) -> np.ndarray:
+        """A row of evidence for each word of a text, without those in unbroken runs that no language writes (encoded
+        data, addresses)."""
+        tokens, kept = text.split(), self.tokens
+        new = set(tokens).difference(kept)
+        if new:
+            if len(kept) + len(new) > REMEMBERED or len(self.known) > REMEMBERED:
+                kept.clear()
+                self.known.clear()
+                new = set(tokens)
+            parts = {t: self.word(t) if len(t) <= LONGEST_RUN else [] for t in new}
+            self._learn({w for words in parts.values() for w in words})
+            kept.update((t, [self.known[w] for w in words]) for t, words in parts.items())
+        return self.table[np.fromiter(chain.from_iterable(map(kept.__getitem__, tokens)), np.int64)]
 
     def margins(self, words: list[str]) -> np.ndarray:
         """A row of bit margins for each lower-case word."""
-        grams = [_grams(w) for w in words]
-        sizes = np.array([len(g) for g in grams])
-        flat = np.fromiter((x for g in grams for x in g), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / np.sqrt(sizes)[:, None] + self.bias
+        flat, sizes = grams_of(words)
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None] + self.bias
 
     def decoded(self, margins: np.ndarray) -> np.ndarray:
         """Negative loss of each language's codeword: the trust-weighted logistic loss, best of a language's classes."""
@@ -111,14 +127,11 @@ class LanguageModel:
         loss = np.stack([(self.trust * np.logaddexp(0, -clipped * row)).sum(axis=1) for row in self.code], axis=1)
         return -np.stack([loss[:, [i for i, c in enumerate(CLASSES) if c.split("_")[0] == lang]].min(axis=1) for lang in LANGS], axis=1)
 
-    def evidence(self, words: list[str]) -> np.ndarray:
-        """A row for each word: log evidence of every language, relative to their mean."""
+    def _learn(self, words: set[str]) -> None:
+        """Keep a row for each word: log evidence of every language, relative to their mean."""
         known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        missing = [w for w in words if w not in known]
         if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(dict.fromkeys(words))
             rows = self.decoded(self.margins([w.lower() for w in missing]))
             rows -= rows.mean(axis=1, keepdims=True)
             rows *= np.array([NAME_WEIGHT if not (w.islower() or w.isupper()) else 1.0 for w in missing])[:, None]
@@ -128,7 +141,6 @@ class LanguageModel:
             self.table[len(known) : need] = rows
             for w in missing:
                 known[w] = len(known)
-        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def spans(self, rows: np.ndarray) -> list[tuple[int, int, int]]:
         """(first word, end, language) of the segments of a text: the best path that pays for each change."""
@@ -167,31 +179,35 @@ class LanguageModel:
                     found[lang] = found.get(lang, 0.0) + lead
         return found
 
-    def several(self, rows: np.ndarray) -> bool:
-        """Whether a text has room for whole sentences in two languages; shorter ones have one language."""
-        return len(rows) >= 2 * LEAST_WORDS
+    def several(self, rows: np.ndarray, most: int) -> bool:
+        """Whether a text may hold whole sentences of a language other than `most`, its most likely one.
+
+        A language counts with a span in which it leads by LEAST_EVIDENCE, so where no run of words leads over `most`
+        by as much there is none, and the path through the text need not be looked for.
+        """
+        if len(rows) < 2 * LEAST_WORDS:
+            return False
+        lead = np.cumsum(rows - rows[:, most : most + 1], axis=0)
+        low = np.minimum.accumulate(np.concatenate((np.zeros((1, len(LANGS))), lead[:-1])), axis=0)
+        return bool((lead - low).max() >= LEAST_EVIDENCE - 1e-6)
 
     def judged(self, rows: np.ndarray) -> tuple[str | None, float, bool]:
         """Language, confidence and whether it is ambiguous, of a text's words; no language without a word."""
         if not len(rows):
             return None, 0.0, True
         total = rows.sum(axis=0)
-        if self.several(rows):
+        order = np.argsort(-total, kind="stable")
+        if self.several(rows, int(order[0])):
             found = self.whole(rows, self.spans(rows))
             if len(found) > 1:
                 least = min(found.values())
                 return MIXED, float(1 - np.exp(-least / LEAST_EVIDENCE)), least < 1.5 * LEAST_EVIDENCE
-        order = np.argsort(-total, kind="stable")
         lead = float(total[order[0]] - total[order[1]])
         return LANGS[order[0]], float(1 / np.exp(total - total[order[0]]).sum()), lead < AMBIGUOUS
 
     def lines(self, text: str) -> list[tuple[int, str, float]]:
         """(number, language, confidence) of each non-empty line; a line without words goes with its neighbours."""
-        parts = text.split("\n")
-        counted = [(i, self.find(line)) for i, line in enumerate(parts) if line]
-        rows = self.evidence([w for _, words in counted for w in words])
-        ends = np.cumsum([len(words) for _, words in counted])
-        out = [(i, *self.judged(rows[end - len(words) : end])[:2]) for (i, words), end in zip(counted, ends, strict=True)]
+        out = [(i, *self.judged(self.rows(line))[:2]) for i, line in enumerate(text.split("\n")) if line]
         named = [lang for _, lang, _ in out]
         for i, lang in enumerate(named):
             if lang is None:
@@ -224,10 +240,8 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, rate: float = 0.3, see
                     spans.append([ids.setdefault(w, len(ids)) for w in form])
     if len({*kinds}) < 2:
         raise ValueError("labelled rows of at least two languages are needed")
-    grams = [_grams(w) for w in ids]
-    gram_sizes = np.array([len(g) for g in grams])
-    gram_flat = np.fromiter((x for g in grams for x in g), np.int64, int(gram_sizes.sum()))
-    gram_first = np.concatenate(([0], np.cumsum(gram_sizes)[:-1]))
+    gram_flat, gram_sizes = grams_of(list(ids))
+    gram_first = np.cumsum(gram_sizes) - gram_sizes
     gram_scale = np.repeat(1 / np.sqrt(gram_sizes), gram_sizes)[:, None]
     code = codewords(len(CLASSES))
     kept = np.ones(len(spans), bool)
@@ -266,16 +280,31 @@ def fit(samples: list[tuple[str, str]], rounds: int = 60, rate: float = 0.3, see
 
 
 def fit_on(tables: list[tuple[DataFrame, str, str, str]], rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit on labelled rows of (table, key, text, label), at most `rows` of each, chosen by a hash of the key."""
+    """Fit on labelled rows of (table, key, text, label), at most `rows` of each, those with the least hash of the key."""
     samples: list[tuple[str, str]] = []
     for df, key, text, label in tables:
         named = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), label_language(F.col(label)).alias("l"))
-        named = named.where(F.col("l").isin(*LANGS) & F.col("t").isNotNull() & F.col("k").isNotNull())
-        chosen = named.orderBy(F.xxhash64("k"), "k").limit(rows).collect()
+        chosen = _least(named.where(F.col("l").isin(*LANGS) & F.col("k").isNotNull()), rows)
         samples += [(r.l, form) for r, form in zip(chosen, Canonical()([r.t for r in chosen]), strict=True) if form]
     return fit(samples)
 
 
+def _least(named: DataFrame, rows: int) -> list:
+    """The `rows` rows (k, t, l) with text that have the least hash of k; about four times as many meet in all.
+
+    A count bounds the hashes beforehand, so a task hands on what is under the bound and not `rows` texts of its own.
+    """
+    hashed = F.xxhash64("k")
+    share = 4.0 * rows / max(1, named.select("k", "l").count())
+    while True:
+        bound = -(1 << 63) + int(share * (1 << 64))
+        few = named.where(hashed < F.lit(bound)) if share < 1 else named
+        found = few.where("t is not null").orderBy(hashed, "k").limit(rows).collect()
+        if len(found) == rows or share >= 1:
+            return found
+        share *= 4
+
+
 def languages(df: DataFrame, key: str, text: str, label: str, model: LanguageModel, segments: bool) -> DataFrame:
     """id, seg, lang, confidence, ambiguous, label: a row with seg -1 for each row with text, and one for each
     non-empty line (seg 0..) of a text of mixed language if segments are asked for.
@@ -293,8 +322,7 @@ def languages(df: DataFrame, key: str, text: str, label: str, model: LanguageMod
             for i, stored, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), form(batch.column(1)), strict=True):
                 if not t or t.isspace():
                     continue
-                words = judge.find(t)
-                lang, sure, unsure = judge.judged(judge.evidence(words)) if words else (None, 0.0, True)
+                lang, sure, unsure = judge.judged(judge.rows(t))
                 out.append((i, -1, lang, sure, unsure, stored))
                 if segments and lang == MIXED:
                     out += [(i, n, named, sure, False, stored) for n, named, sure in judge.lines(t)]

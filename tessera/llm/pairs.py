@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -30,13 +30,19 @@ DECLINING = (
     r"\b(?:source|document|passage|text|record|report|material)s?\b.{0,40}\b(?:hold|holds|contain|contains|have|has|give|gives|offer|offers|provide|provides)\b (?:no|nothing)\b",
     r"\b(?:source|document|passage|text|record|material)s?\b.{0,30}\b(?:do|does|did) not (?:mention|contain|say|answer|cover|hold|include)\b",
     r"\bnothing\b.{0,60}\b(?:found|documents?|sources?|mentions?|let me answer|answer)\b",
-    r"\b(?:outside|beyond|not within) (?:what i|the scope|my scope|my remit|my knowledge)\b",
+    r"\bthere (?:is|was|are|were) (?:no|nothing|not enough|too little)\b.{0,60}\bin (?:the|these|those|any|my) (?:\w+ )?(?:sources?|documents?|passages?|texts?|context|materials?|records?)\b",
+    r"\b(?:question|this|that|it|which)\b.{0,20}\b(?:cannot|can't|can not|could not|couldn't) be (?:answered|determined)\b|\bno relevant (?:passage|source|document|text|information|data)s?\b",
+    r"\b(?:i|we) lack\b|\b(?:is|are) silent (?:on|about)\b|\bbeyond the (?:documents|sources|passages|texts)\b|^\W*(?:cannot|can't|unable to|could not) (?:answer|help|say|determine)\b",
+    r"\b(?:insufficient|not enough|too little) (?:information|data|context|evidence)\b.{0,20}\bto (?:answer|respond|say)\b",
+    r"\b(?:outside|beyond|not within)(?: of)? (?:what i|the scope|my scope|my remit|my knowledge)\b",
     r"\b(?:tôi|chúng tôi)(?: \w+){0,2}? (?:không thể|không được phép|không có|chưa có|không tìm thấy|chưa tìm thấy|không tìm được|không biết|không rõ|không trả lời|phải từ chối|từ chối|không bàn|không muốn|chưa thể)\b",
     r"\bkhông có (?:căn cứ|cơ sở|thông tin|dữ liệu|tài liệu|câu trả lời)\b",
-    r"\b(?:tài liệu|nguồn|văn bản|đoạn trích)\b.{0,30}\bkhông (?:có câu trả lời|nhắc|đề cập|nêu|chứa|trả lời)\b",
+    r"\b(?:tài liệu|nguồn|văn bản|đoạn trích)\b.{0,30}\bkhông (?:có câu trả lời|nhắc|đề cập|nêu|chứa|trả lời|cho biết)\b",
     r"\b(?:nằm ngoài|ngoài) (?:phạm vi|khả năng)\b",
     r"\bkhông \w+(?: \w+){0,3} nào (?:nhắc|đề cập|nêu|nói|cho biết|trả lời)\b",
     r"\bkhông tìm thấy\b.{0,60}",
+    r"\b(?:thông tin|dữ liệu|tài liệu|nguồn)\b.{0,40}\bkhông đủ\b|\bkhông (?:có )?đủ (?:thông tin|dữ liệu|căn cứ|cơ sở)\b|^\W*không thể (?:xác định|trả lời|kết luận)\b",
+    r"\bimpossible de (?:répondre|donner une réponse)\b|\bnous ne (?:pouvons|disposons|savons|trouvons)\b|\bdépasse (?:mes|nos) \w+",
     r"\bje (?:ne |n')(?:peux|suis|dispose|trouve|sais|ai)\b",
     r"\b(?:dois|doit) (?:décliner|refuser)\b|\baucune? (?:réponse|information|donnée|source|document)s?\b|\bhors de (?:mon|notre) \w+\b",
     r"\b(?:sources?|documents?|textes?)\b.{0,30}\bne (?:contiennent|contient|donnent|donne|mentionnent|mentionne|permettent|permet)\b",
@@ -56,6 +62,8 @@ _OPENING = re.compile(r"(?:^|[.!?\]]\s+|\n\s*(?:[-*] )?)(?:Article|Clause|Sectio
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SHORT = re.compile(r"[\d(+\-$€£₫~≈]\S*(?:\s\S+){0,2}$")
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+#: Characters of a text by which parts of the sorted order are compared.
+HEAD = 64
 #: The length of a response counts as a limit if this many unfinished ones end there and they are this share of it.
 SPIKE, SPIKE_SHARE = 8, 0.8
 
@@ -136,10 +144,10 @@ def judged_pairs(pairs: DataFrame, model: LanguageModel) -> DataFrame:
                 return "copy"
             if is_refusal(form):
                 return "refusal"
-            said, spoken = judge.find(form), judge.find(question)
-            if said and spoken:
-                (a, sure, _), (b, known, _) = judge.judged(judge.evidence(said)), judge.judged(judge.evidence(spoken))
-                if a != b and MIXED not in (a, b) and min(sure, known) > 0.9 and len(said) > 2:
+            said, spoken = judge.rows(form), judge.rows(question)
+            if len(said) > 2 and len(spoken):
+                (a, sure, _), (b, known, _) = judge.judged(said), judge.judged(spoken)
+                if a != b and MIXED not in (a, b) and min(sure, known) > 0.9:
                     return "other_language"
             return None
 
@@ -163,40 +171,59 @@ def judged_pairs(pairs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def shortened(texts: DataFrame) -> DataFrame:
-    """The keys of texts (key, form) that a longer text begins with and goes on from, inside a word or sentence.
+    """The keys of texts (key: the md5 of form, form) that a longer text begins with and goes on from, inside a word or
+    sentence.
 
     Equal texts count once, so popular ones can't fill a task; the rest is sorted by range. In sorted order all longer
     versions follow next, so a text stays pending while the following ones begin with it. What is still pending at the
-    end of a part, and goes on in the next one, meets all texts.
+    end of a part, and may go on in the next one, meets all texts in a second pass. Only hashes and the first HEAD
+    characters of such texts come to the driver, a few rows a part.
     """
     once = texts.where("form <> ''").groupBy("key").agg(F.first("form").alias("form"))
     ordered = once.repartitionByRange("form").sortWithinPartitions("form")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, pending = None, []
+        from pyspark import TaskContext
+
+        part, start, pending = TaskContext.get().partitionId(), None, []
         for batch in batches:
             out = []
             for key, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start = form if start is None else start
+                start = form[:HEAD] if start is None else start
                 while pending and not form.startswith(pending[-1][1]):
                     pending.pop()
-                out += [(k, "shortened", None, None) for k, f in pending if goes_on(f, form)]
+                out += [(k, "shortened", 0, "", "", False, 0) for k, f in pending if goes_on(f, form)]
                 pending = [(k, f) for k, f in pending if not goes_on(f, form)] + [(key, form)]
             yield _rows(out)
         if start is not None:
-            yield _rows([(k, "pending", f, start) for k, f in pending])
+            yield _rows([(k, "pending", len(f), f[:HEAD], start, ending(f) == "closed", part) for k, f in pending])
 
     def _rows(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["key", "what", "form", "start"])
-
-    seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, form string, start string"))
-    # The last texts of every part that begin one another, with the first text of their part and of the next one.
-    ends = seen.where("what = 'pending'").select("key", "form", "start")
-    starts = ends.select("start").distinct().withColumn("after", F.lead("start").over(Window.orderBy("start")))  # a row a part
-    open_ = ends.join(starts, "start").where("after is not null").where(F.col("after").startswith(F.col("form"))).select("key", F.col("form").alias("text"))
-    test = F.udf(lambda text, after: goes_on(text, after), "boolean")
-    met = texts.select("form").join(F.broadcast(open_), F.col("form").startswith(F.col("text")) & (F.length("form") > F.length("text")))
-    return seen.where("what = 'shortened'").select("key").unionByName(met.where(test("text", "form")).select("key")).distinct()
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32())
+        names = ["key", "what", "chars", "head", "start", "closed", "part"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    seen = written(ordered.select("key", "form").mapInArrow(run, "key string, what string, chars int, head string, start string, closed boolean, part int"))
+    cut = seen.where("what = 'shortened'").select("key").distinct()
+    ends = seen.where("what = 'pending'").select("key", "chars", "head", "start", "closed", "part").orderBy("part").collect()
+    starts = {r.part: r.start for r in ends}
+    after = dict(zip(starts, [*starts.values()][1:], strict=False))
+    open_ = [(r.chars, r.key, r.head, r.closed) for r in ends if after.get(r.part, "").startswith(r.head)]
+    if not open_:
+        return cut
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        for batch in batches:
+            found = set()
+            for form in batch.column(0).to_pylist():
+                for chars, key, head, closed in open_:
+                    if len(form) > chars and (form[chars].isalnum() or not closed) and form.startswith(head) and md5(form[:chars].encode()).hexdigest() == key:
+                        found.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
+
+    return cut.unionByName(texts.select("form").mapInArrow(meet, "key string")).distinct()
 
 
 def goes_on(text: str, after: str) -> bool:
