@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ ROUNDS, PASSES, BATCH, SEED = 5, 2, 256, 11
 TRUSTING_ROUNDS = 2
 #: A threshold is set for a language from so many held-out documents of each kind on; else the one for all holds.
 LEAST_HELD_OUT = 20
+#: Sentences that are scored at once.
+BLOCK = 400
 REMEMBERED = 400_000
 
 # Signs that stand for letters inside words.
@@ -114,7 +117,7 @@ def laid_out(sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.nda
     starts = np.concatenate(([0], np.cumsum(sizes + pad)[:-1])) if len(sentences) else sizes
     flat = np.zeros(int(sizes.sum()) + pad * len(sentences), np.int64)
     places = np.arange(int(sizes.sum())) + np.repeat(pad * np.arange(len(sentences)), sizes)
-    flat[places] = np.fromiter((w for s in sentences for w in s), np.int64, int(sizes.sum()))
+    flat[places] = np.fromiter(chain.from_iterable(sentences), np.int64, int(sizes.sum()))
     return flat, starts, sizes
 
 
@@ -142,8 +145,8 @@ class AbuseModel:
 
     def _vectors(self, features: list[list[int]]) -> np.ndarray:
         sizes = np.fromiter(map(len, features), np.int64, len(features))
-        flat = np.fromiter((f for fs in features for f in fs), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.parts["embed"][flat], np.concatenate(([0], np.cumsum(sizes)[:-1]))) / sizes[:, None]
+        flat = np.fromiter(chain.from_iterable(features), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.parts["embed"][flat], np.cumsum(sizes) - sizes) / sizes[:, None].astype(np.float32)
 
     def vectors(self, words: Words) -> np.ndarray:
         """The embedding of every word known so far; row 0 is zero."""
@@ -151,25 +154,38 @@ class AbuseModel:
             self.embedded = np.concatenate((self.embedded, self._vectors(words.features[len(self.embedded) :])))
         return self.embedded
 
-    def pooled(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The highest response of every filter in each sentence."""
-        bounds = np.stack((starts, starts + sizes), axis=1).ravel()
-        out = []
-        for w in SIZES:
-            kernel, count = self.parts[f"k{w}"], len(x) - w + 1
-            y = x[:count] @ kernel[0]
-            for i in range(1, w):
-                y += x[i : i + count] @ kernel[i]
-            top = np.maximum.reduceat(y, np.minimum(bounds, count - 1))[::2]
-            out.append(np.maximum(top + self.parts[f"b{w}"], 0))
-        return np.concatenate(out, axis=1)
-
-    def sentence_scores(self, sentences: list[list[int]], table: np.ndarray, block: int = 2000) -> np.ndarray:
-        scores = [np.zeros(0, np.float32)]
-        for i in range(0, len(sentences), block):
-            flat, starts, sizes = laid_out(sentences[i : i + block])
-            scores.append(self.pooled(table[flat], starts, sizes) @ self.parts["out"] + self.parts["bias"][0])
-        return np.concatenate(scores)
+    def filters(self) -> tuple[np.ndarray, np.ndarray]:
+        """All filters as columns of one matrix over windows of the widest one, and their biases."""
+        kernel = np.zeros((max(SIZES) * WIDTH, len(SIZES) * FILTERS), np.float32)
+        for n, w in enumerate(SIZES):
+            kernel[: w * WIDTH, n * FILTERS : (n + 1) * FILTERS] = self.parts[f"k{w}"].reshape(w * WIDTH, FILTERS)
+        return kernel, np.concatenate([self.parts[f"b{w}"] for w in SIZES])
+
+    def sentence_scores(self, sentences: list[list[int]], table: np.ndarray) -> np.ndarray:
+        """The score of each sentence: the highest response of every filter, weighted. Sentences of one length are pooled
+        together, in blocks, so that a filter's responses are halved at once until one is left."""
+        kernel, bias = self.filters()
+        scores = np.zeros(len(sentences), np.float32)
+        order = np.argsort(np.fromiter(map(len, sentences), np.int64, len(sentences)), kind="stable")
+        for i in range(0, len(order), BLOCK):
+            chosen = order[i : i + BLOCK]
+            flat, starts, sizes = laid_out([sentences[j] for j in chosen])
+            x = table[flat]
+            windows = np.lib.stride_tricks.as_strided(x, (len(x) - max(SIZES) + 1, kernel.shape[0]), x.strides)
+            y = windows[np.arange(int(sizes.sum())) + np.repeat((max(SIZES) - 1) * np.arange(len(sizes)), sizes)] @ kernel
+            top, at = np.empty((len(chosen), kernel.shape[1]), np.float32), 0
+            firsts = np.flatnonzero(np.diff(sizes, prepend=-1))
+            for first, end in zip(firsts, np.append(firsts[1:], len(sizes)), strict=True):
+                left = int(sizes[first])
+                alike = y[at : at + left * (end - first)].reshape(end - first, left, -1)
+                at += left * (end - first)
+                while left > 1:
+                    half = left // 2
+                    np.maximum(alike[:, :half], alike[:, left - half : left], out=alike[:, :half])
+                    left -= half
+                top[first:end] = alike[:, 0]
+            scores[chosen] = np.maximum(top + bias, 0) @ self.parts["out"] + self.parts["bias"][0]
+        return scores
 
     def scores(self, forms: list[str | None]) -> np.ndarray:
         """A number from 0 to 1 for each text in consistent form; 0 for a text without words."""
@@ -195,70 +211,68 @@ def _gathered(index: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return np.bincount(flat, rows.reshape(-1), count * WIDTH).reshape(count, WIDTH).astype(np.float32)
 
 
-def _train(model: AbuseModel, words: Words, sentences: list[list[int]], targets: np.ndarray, weights: np.ndarray, draw, rate: float, state: dict) -> None:
-    """One pass of Adam over the sentences; embeddings change by Adagrad."""
+def _train(model: AbuseModel, features: tuple[np.ndarray, np.ndarray], sentences: list[list[int]], targets: np.ndarray, weights: np.ndarray, draw, rate: float, state: dict) -> None:
+    """One pass of Adam over the sentences; embeddings change by Adagrad. features holds all words' buckets and their bounds."""
     parts = model.parts
-    sizes_of = np.fromiter(map(len, words.features), np.int64, len(words.features))
+    buckets, bounds = features
+    span = max(SIZES)
+    columns = np.arange(len(SIZES) * FILTERS)
     order = draw.permutation(len(sentences))
     for at in range(0, len(order), BATCH):
         chosen = order[at : at + BATCH]
-        flat, starts, sizes = laid_out([sentences[i] for i in chosen])
+        flat, _, sizes = laid_out([sentences[i] for i in chosen])
         used, inverse = np.unique(flat, return_inverse=True)
         real = used[used > 0]
-        feats = np.fromiter((f for w in real for f in words.features[w]), np.int64, int(sizes_of[real].sum()))
-        firsts = np.concatenate(([0], np.cumsum(sizes_of[real])[:-1]))
+        counts = bounds[real + 1] - bounds[real]
+        firsts = np.cumsum(counts) - counts
+        feats = buckets[np.arange(int(counts.sum())) + np.repeat(bounds[real] - firsts, counts)]
         vectors = np.zeros((len(used), WIDTH), np.float32)
-        vectors[used > 0] = np.add.reduceat(parts["embed"][feats], firsts) / sizes_of[real][:, None]
+        vectors[used > 0] = np.add.reduceat(parts["embed"][feats], firsts) / counts[:, None].astype(np.float32)
         x = vectors[inverse]
-        owner = np.repeat(np.arange(len(chosen)), sizes)
-        places = np.arange(int(sizes.sum())) + np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        pooled, where = [], []
-        for w in SIZES:
-            y = sum(x[np.minimum(places + i, len(x) - 1)] @ parts[f"k{w}"][i] for i in range(w))
-            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            top = np.maximum.reduceat(y, first)
-            hit = y == top[owner]
-            rank = np.where(hit, places[:, None], np.iinfo(np.int64).max)
-            where.append(np.minimum.reduceat(rank, first))
-            pooled.append(top + parts[f"b{w}"])
-        raw = np.concatenate(pooled, axis=1)
-        act = np.maximum(raw, 0)
-        keep = (draw.random(act.shape) > 0.2) / np.float32(0.8)
-        act = (act * keep).astype(np.float32)
+        kernel, bias = model.filters()
+        places = np.arange(int(sizes.sum())) + np.repeat((span - 1) * np.arange(len(sizes)), sizes)
+        windows = np.lib.stride_tricks.as_strided(x, (len(x) - span + 1, kernel.shape[0]), x.strides)[places]
+        y = windows @ kernel
+        first = np.cumsum(sizes) - sizes
+        top = np.maximum.reduceat(y, first)
+        hit = y == np.repeat(top, sizes, axis=0)
+        where = np.minimum.reduceat(np.where(hit, np.arange(len(y))[:, None], len(y)), first)
+        raw = top + bias
+        keep = (draw.random(raw.shape) > 0.2) / np.float32(0.8)
+        act = (np.maximum(raw, 0) * keep).astype(np.float32)
         logit = act @ parts["out"] + parts["bias"][0]
         slope = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - targets[chosen]) * weights[chosen] / weights[chosen].sum()).astype(np.float32)
         grads = {"out": act.T @ slope + 1e-4 * parts["out"], "bias": slope.sum(keepdims=True)}
-        back = slope[:, None] * parts["out"] * keep * (raw > 0)
-        moved: list[tuple[np.ndarray, np.ndarray]] = []
+        back = (slope[:, None] * parts["out"] * keep * (raw > 0)).astype(np.float32)
+        pulled = np.zeros_like(y)
+        pulled[where, columns] = back
+        moved = windows.T @ pulled
         for n, w in enumerate(SIZES):
-            part = back[:, n * FILTERS : (n + 1) * FILTERS].astype(np.float32)
-            grads[f"b{w}"] = part.sum(axis=0)
-            kernel = np.zeros_like(parts[f"k{w}"])
-            for i in range(w):
-                index = np.minimum(where[n] + i, len(x) - 1)
-                taken = x[index]  # sentence, filter, width
-                kernel[i] = np.einsum("sfe,sf->ef", taken, part)
-                moved.append((index.ravel(), (part[:, :, None] * parts[f"k{w}"][i].T[None]).reshape(-1, WIDTH)))
-            grads[f"k{w}"] = kernel
+            own = slice(n * FILTERS, (n + 1) * FILTERS)
+            grads[f"b{w}"], grads[f"k{w}"] = back[:, own].sum(axis=0), moved[: w * WIDTH, own].reshape(w, WIDTH, FILTERS)
+        wide = pulled @ kernel.T
+        x_slope = np.zeros_like(x)
+        for i in range(span):
+            x_slope[places + i] += wide[:, i * WIDTH : (i + 1) * WIDTH]
         state["t"] = state.get("t", 0) + 1
         for name, g in grads.items():
             m, v = state.setdefault(name, (np.zeros_like(parts[name]), np.zeros_like(parts[name])))
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             parts[name] -= (rate * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.999 ** state["t"])) + 1e-8)).astype(np.float32)
-        word_slope = _gathered(inverse[np.concatenate([i for i, _ in moved])], np.concatenate([r for _, r in moved]), len(used))
-        feature_slope = np.repeat(word_slope[used > 0] / sizes_of[real][:, None], sizes_of[real], axis=0)
+        word_slope = _gathered(inverse, x_slope, len(used))[used > 0]
         touched, back_to = np.unique(feats, return_inverse=True)
-        total = _gathered(back_to, feature_slope, len(touched))
+        total = _gathered(back_to, np.repeat(word_slope / counts[:, None].astype(np.float32), counts, axis=0), len(touched))
         seen = state.setdefault("embed", np.full(BUCKETS, 1e-8, np.float32))
         seen[touched] += (total * total).mean(axis=1)
         parts["embed"][touched] -= 10 * rate * total / np.sqrt(seen[touched])[:, None]
 
 
 def fit(samples: list[tuple[str, int, str | None]], seed: int = SEED) -> AbuseModel:
-    """Fit on (text in consistent form, toxic, language); thresholds are set on the quarter that is held out.
+    """Fit on (text in consistent form, toxic, language); thresholds are set on the quarter of each kind that is held out.
 
-    With fewer than two kinds of label the model scores every text the same and marks none.
+    With fewer than two kinds of label the model scores every text the same and marks none; where fewer than four
+    documents of a kind leave nothing to hold out, the threshold is 0.5.
     """
     draw = np.random.default_rng(seed)
     model = AbuseModel.fresh(seed)
@@ -269,8 +283,13 @@ def fit(samples: list[tuple[str, int, str | None]], seed: int = SEED) -> AbuseMo
         model.parts["out"][:] = 0
         model.thresholds = {"": 1.0}
         return model
-    held = draw.random(len(samples)) < 0.25 if len(samples) >= 8 * LEAST_HELD_OUT else np.zeros(len(samples), bool)
+    held = np.zeros(len(samples), bool)
+    for kind in (True, False):  # a quarter of each kind, whatever their number
+        own = draw.permutation(np.flatnonzero(toxic == kind))
+        held[own[: len(own) // 4]] = True
     train = [i for i in range(len(samples)) if not held[i] and texts[i]]
+    bounds = np.concatenate(([0], np.cumsum([len(f) for f in words.features])))
+    known = np.fromiter(chain.from_iterable(words.features), np.int64, int(bounds[-1])), bounds
     state: dict = {}
     for turn in range(ROUNDS):
         chosen: list[tuple[list[int], float, float]] = []
@@ -301,9 +320,9 @@ def fit(samples: list[tuple[str, int, str | None]], seed: int = SEED) -> AbuseMo
         for kind in (0, 1):
             weights[targets == kind] /= max(weights[targets == kind].sum(), 1e-9)
         for _ in range(PASSES):
-            _train(model, words, [s for s, *_ in chosen], targets, weights * len(chosen), draw, 0.01 / (1 + turn), state)
+            _train(model, known, [s for s, *_ in chosen], targets, weights * len(chosen), draw, 0.01 / (1 + turn), state)
     fitted = AbuseModel(model.parts, {})
-    test = [i for i in range(len(samples)) if held[i]] or list(range(len(samples)))
+    test = np.flatnonzero(held).tolist()
     scores = fitted.scores([samples[i][0] for i in test])
     langs = [samples[i][2] or "" for i in test]
     kinds = toxic[test]
