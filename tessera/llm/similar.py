@@ -81,20 +81,22 @@ def packed(minima: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(LANES // each, each, -1) << shifts, axis=1).view(np.int64).T
 
 
-def bands(minima: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each set."""
+def bands(minima: np.ndarray, scopes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each set, apart for each scope (its hash)."""
     draw = np.random.default_rng(SEED + 1)
     odd = draw.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     with np.errstate(over="ignore"):
         mixed = (minima.reshape(BANDS, ROWS, -1).astype(np.uint64) * odd[None, :, None]).sum(axis=1, dtype=np.uint64)
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
-        mixed += np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03)
+        mixed += np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03) + scopes.astype(np.int64).view(np.uint64)[None, :]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
     return mixed.view(np.int64).T
 
 
 def signatures(classes: DataFrame) -> DataFrame:
-    """cid, scope, bands, signature of each class of equal word sets."""
+    """cid, size, buckets, signature of each class of equal word sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1_000_000):
@@ -104,12 +106,12 @@ def signatures(classes: DataFrame) -> DataFrame:
             offsets = np.asarray(lists.offsets, dtype=np.int64)
             minima = minhash(offsets - offsets[0], np.asarray(lists.flatten()))
             columns = []
-            for rows in (bands(minima), packed(minima)):
+            for rows in (bands(minima, np.asarray(batch.column(1))), packed(minima)):
                 flat = pa.array(np.ascontiguousarray(rows).ravel(), pa.int64())
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, rows.shape[1], dtype=np.int32)), flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["cid", "scope", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), *columns], names=["cid", "size", "buckets", "signature"])
 
-    return spread(classes.select("cid", "scope", "words")).mapInArrow(run, "cid bigint, scope string, bands array<bigint>, signature array<bigint>")
+    return spread(classes.select("cid", F.xxhash64("scope").alias("s"), "words")).mapInArrow(run, "cid bigint, size int, buckets array<bigint>, signature array<bigint>")
 
 
 def estimate(a: str, b: str):
@@ -129,15 +131,17 @@ class SimilarSets:
     def __init__(self, sets: DataFrame, threshold: float):
         sets = written(sets)
         # Equal sets form one class: copies, however many, are hashed and compared once. The class is named by its
-        # smallest id; its number is a hash, and two classes of one number are still told apart by the exact check.
+        # smallest id; its number is given once, when the classes are written, so no two classes share one.
         named = sets.groupBy("scope", "words").agg(F.min("id").alias("rep"))
-        self.classes = written(named.withColumn("cid", F.xxhash64("scope", "rep")))
+        self.classes = written(named.withColumn("cid", F.monotonically_increasing_id()))
         self.members = sets.join(self.classes, ["scope", "words"]).select("id", "scope", "cid", "rep")
         made = written(signatures(self.classes))
-        keyed = made.select("cid", F.explode("bands").alias("band"), "scope").select("cid", F.xxhash64("scope", "band").alias("bucket"))
-        a, b = keyed.withColumnRenamed("cid", "cid_a"), keyed.withColumnRenamed("cid", "cid_b")
-        # AQE splits a hot bucket among tasks; nothing is collected per bucket.
-        pairs = a.join(b.hint("merge"), "bucket").where("cid_a < cid_b").select("cid_a", "cid_b").distinct()
+        keyed = made.select("cid", "size", F.explode("buckets").alias("bucket"))
+        a, b = (keyed.select("bucket", F.col("cid").alias(f"cid_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+        # AQE splits a hot bucket among tasks; nothing is collected per bucket. Sets too unlike in size can't reach the
+        # threshold.
+        sized = (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-9)
+        pairs = a.join(b.hint("merge"), "bucket").where("cid_a < cid_b").where(sized).select("cid_a", "cid_b").distinct()
         bits = made.select("cid", "signature")
         for side in "ab":
             pairs = pairs.join(bits.select(F.col("cid").alias(f"cid_{side}"), F.col("signature").alias(f"signature_{side}")), f"cid_{side}")
@@ -158,13 +162,13 @@ class SimilarSets:
         both = own.unionByName(across)
         return both.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
-    def groups(self, most_rounds: int = 50) -> DataFrame:
+    def groups(self) -> DataFrame:
         """id, scope, class (its smallest id), group (the smallest id that is linked by any chain), links of the class."""
         both = self.links.select("rep_a", "rep_b").unionByName(self.links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
         both = written(both)
         degree = both.groupBy("rep_a").agg(F.count(F.lit(1)).alias("links"))
         label = cut(degree.select(F.col("rep_a").alias("rep"), F.col("rep_a").alias("group")))
-        for _ in range(most_rounds):
+        while True:  # labels only fall, and halve their way along a chain in each round
             near = both.join(label, both.rep_b == label.rep).groupBy("rep_a").agg(F.min("group").alias("near"))
             lower = label.join(near, label.rep == near.rep_a).select("rep", F.least("group", "near").alias("group"), (F.col("near") < F.col("group")).alias("moved"))
             # Jump: take the label of one's label, which halves long chains.
@@ -173,7 +177,5 @@ class SimilarSets:
             label = after.select("rep", "group")
             if not after.where("moved").limit(1).count():
                 break
-        else:
-            raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
         out = self.members.join(label, "rep", "left").join(degree.withColumnRenamed("rep_a", "rep"), "rep", "left")
         return out.select("id", "scope", F.col("rep").alias("class"), F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -61,7 +61,7 @@ def test_bits_estimate_similarity():
     lanes = (minima[: similar.LANES, 0] & 3) == (minima[: similar.LANES, 1] & 3)
     corrected = (lanes.mean() - 0.25) / 0.75
     assert abs(corrected - 150 / 250) < 0.15 and abs((minima[:, 0] == minima[:, 1]).mean() - 0.6) < 0.1
-    assert similar.packed(minima).shape == (2, 8) and similar.bands(minima).shape == (2, similar.BANDS)
+    assert similar.packed(minima).shape == (2, 8) and similar.bands(minima, np.zeros(2, np.int64)).shape == (2, similar.BANDS)
 
 
 def test_similar_pairs_against_brute_force(spark):
