@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ideal_point_ranking(df: DataFrame, group: list[str], key: str, scores: list[str], weights: list[float] | None = None) -> DataFrame:
+def ideal_point_ranking(df: DataFrame, group: list[str], key: str, scores: list[str], weights: list[float] | None = None, trim: float = 0.03) -> DataFrame:
     """Group columns, key, closeness (0 to 1, or null), place (from 1).
 
-    Within each group every score is winsorised by one value at either end (the highest takes the value of the second
-    highest, the lowest that of the second lowest, from four values on), measured from the level of a missing score,
-    divided by its Euclidean norm and weighted. Closeness is the distance from the anti-ideal point as a share of the
+    Within each group every score is winsorised by a share `trim` of its values at either end, by one value at least
+    (the highest takes the value of the second highest, the lowest that of the second lowest, from four values on),
+    measured from the level of a missing score, divided by its Euclidean norm and weighted. Closeness is the distance from the anti-ideal point as a share of the
     distances from both points. A null or NaN score lies one spread below the lowest value. Equal closeness is ordered
     by the sum of the places on the single scores, then by key. A row without any score has a null closeness and ranks
     last. A group of one row, or of rows that are all alike, has closeness 1. Repeated keys count once with their
     highest scores; rows with a null key or a null group column are left out. Other columns are ignored.
     """
+    if not 0 <= trim < 0.5:
+        raise ValueError("trim must be from 0 to below 0.5")
     weights = weights or [1.0 / len(scores)] * len(scores)
     ids = [f"g{i}" for i in range(len(group))]
     clean = [F.when(~F.isnan(df[f"`{s}`"].cast("double")), df[f"`{s}`"].cast("double")).alias(f"s{i}") for i, s in enumerate(scores)]
@@ -32,8 +34,9 @@ def ideal_point_ranking(df: DataFrame, group: list[str], key: str, scores: list[
     def at(i: int, place: Column) -> Column:
         return F.max(F.when(F.col(f"p{i}") == place, F.col(f"s{i}"))).over(whole)
 
-    rows = rows.withColumns({f"hi{i}": at(i, F.least(F.lit(2), F.col(f"n{i}"))) for i in range(len(scores))} | {
-        f"lo{i}": at(i, F.when(F.col(f"n{i}") > 3, F.col(f"n{i}") - 1).otherwise(F.col(f"n{i}"))) for i in range(len(scores))
+    cut = {i: F.greatest(F.lit(1), F.floor(F.col(f"n{i}") * trim).cast("int")) for i in range(len(scores))}
+    rows = rows.withColumns({f"hi{i}": at(i, F.least(cut[i] + 1, F.col(f"n{i}"))) for i in range(len(scores))} | {
+        f"lo{i}": at(i, F.when(F.col(f"n{i}") > 3, F.col(f"n{i}") - cut[i]).otherwise(F.col(f"n{i}"))) for i in range(len(scores))
     })
     values = {}
     for i in range(len(scores)):
