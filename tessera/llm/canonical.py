@@ -7,7 +7,8 @@ reader can see stays: case, missing accents, superscripts, punctuation, number o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,17 +22,60 @@ CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԀԚԜаеорсухѕіјԁһӏԛ
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοϲϳ", "ABEZHIKMNOPTYXCJocj")
 LATIN = ("ɑɡⱭꞬÐƉ", "agAGĐĐ")
 ARMENIAN = ("օՕ", "oO")
-ROMAN = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")
+LISU = ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ")
 SIGNS = ("‐‑ʼ￠￡￢￥￦", "--’¢£¬¥₩")
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E007F}]+"
 TONES = "\u0300\u0301\u0303\u0309"
 SHAPES = {"\u0302": "aeoAEO", "\u0306": "aA"}
+#: Kinds of compatibility character that read as plain letters, digits and units; superscripts, fractions, circled ones
+#: and the like differ to the eye.
+ALIKE_KINDS = ("<wide>", "<narrow>", "<font>", "<compat>", "<square>")
+
+
+def compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility characters by the public Unicode data: those of one plain character, and those of several.
+
+    Only widths, type faces, ligatures, numerals and units count, and only where the plain form is letters, digits,
+    marks or ASCII signs of full width: a letter of another script is never the plain form of punctuation.
+    """
+    single, several = {}, {}
+    for code in range(0xA0, 0x20000):
+        char = chr(code)
+        kind = unicodedata.decomposition(char).split(" ", 1)[0]
+        plain = unicodedata.normalize("NFKC", char)
+        if kind not in ALIKE_KINDS or char == "ſ":
+            continue
+        if kind in ("<wide>", "<narrow>") and len(plain) == 1 and plain.isascii():
+            single[char] = plain
+        elif len(plain) == 1 and unicodedata.category(plain)[0] in "LNM":
+            single[char] = plain
+        elif code < 0x1F000 and all(unicodedata.category(c)[0] in "LM" or c == "°" for c in plain):
+            several[char] = plain
+    return single, several
+
+
+def ranges(chars) -> str:
+    """A regular expression's class of characters."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
 
 WIDE = "".join(chr(0xFF01 + i) for i in range(94))
-PLAIN = "".join(chr(0x21 + i) for i in range(94))
-_PAIRS = (CYRILLIC, GREEK, LATIN, ARMENIAN, ROMAN, SIGNS, (WIDE, PLAIN), (SPACES, " " * len(SPACES)))
-FROM, TO = ("".join(side) for side in zip(*_PAIRS, strict=True))
+_SINGLE, SEVERAL = compatible()
+_PAIRS = (CYRILLIC, GREEK, LATIN, ARMENIAN, CHEROKEE, LISU, SIGNS, (SPACES, " " * len(SPACES)))
+_BY_HAND = dict(zip(*("".join(side) for side in zip(*_PAIRS, strict=True)), strict=True))
+#: A plain form may itself have a look-alike (a bold Greek capital), so it is mapped through once more.
+SINGLE = {char: _BY_HAND.get(plain, plain) for char, plain in _SINGLE.items() if char not in _BY_HAND} | _BY_HAND
+SEVERAL = {char: "".join(_BY_HAND.get(c, c) for c in plain) for char, plain in SEVERAL.items()}
+#: The common ones are mapped in every text; a text with a rarer one goes through the whole table.
+COMMON = _BY_HAND | dict(zip(WIDE, (chr(0x21 + i) for i in range(94)), strict=True))
+RARE = ranges({*SINGLE, *SEVERAL} - {*COMMON})
 
 #: Texts are handed to DuckDB in slices of about this many bytes, so that very long texts don't pile up.
 SLICE_BYTES = 4_000_000
@@ -41,11 +85,18 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def canonical_sql(column: str) -> str:
-    """The DuckDB expression for the consistent form of a column."""
-    mapped = f"translate(regexp_replace({column}, '{INVISIBLE}', '', 'g'), {_quoted(FROM)}, {_quoted(TO)})"
-    for sign, letters in LIGATURES.items():
-        mapped = f"replace({mapped}, '{sign}', '{letters}')"
+def canonical_sql(column: str, rare: Iterable[str] | None = None) -> str:
+    """The DuckDB expression for the consistent form of a column: a key for comparing texts, not a text to train on.
+
+    `rare` names the rarer characters that the column holds, all that are known by default; with fewer of them the
+    expression is shorter.
+    """
+    rare = [c for c in (*SINGLE, *SEVERAL) if c not in COMMON] if rare is None else sorted(rare)
+    table = COMMON | {c: SINGLE[c] for c in rare if c in SINGLE}
+    mapped = f"translate(regexp_replace({column}, '{INVISIBLE}', '', 'g'), {_quoted(''.join(table))}, {_quoted(''.join(table.values()))})"
+    for sign in rare:
+        if sign in SEVERAL:
+            mapped = f"replace({mapped}, '{sign}', '{SEVERAL[sign]}')"
     # Accents of one combining class keep their written order under NFC: put the shape before the tone.
     swapped = f"regexp_replace({mapped}, '([{TONES}])([\u031b\u0323]?)([{''.join(SHAPES)}])', '\\3\\2\\1', 'g')"
     composed = f"nfc_normalize({swapped})"
@@ -66,7 +117,6 @@ class Canonical:
         import duckdb
 
         self.duckdb = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
-        self.sql = f"SELECT {canonical_sql('t')} AS t FROM given"
 
     @classmethod
     def shared(cls) -> Canonical:
@@ -74,15 +124,18 @@ class Canonical:
             cls._shared = cls()
         return cls._shared
 
+    def over(self, given: pa.Table, select: str):
+        """The rows of a SELECT over the table `given`, in which {form} stands for the consistent form of its column t."""
+        self.duckdb.register("given", given)
+        rare = self.duckdb.sql(f"SELECT DISTINCT unnest(regexp_extract_all(t, '{RARE}')) FROM given WHERE regexp_matches(t, '{RARE}')").fetchall()
+        return self.duckdb.sql(select.replace("{form}", canonical_sql("t", [c for (c,) in rare])))
+
     def __call__(self, texts: pa.Array | list) -> list[str | None]:
         """Null stays null."""
         texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
         if not len(texts):
             return []
-        self.duckdb.register("given", pa.table({"t": texts}))
-        out = self.duckdb.sql(self.sql).fetchall()
-        self.duckdb.unregister("given")
-        return [row[0] for row in out]
+        return [row[0] for row in self.over(pa.table({"t": texts}), "SELECT {form} FROM given").fetchall()]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -123,13 +176,10 @@ def text_classes(df: DataFrame, item: str, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
-        sql = f"SELECT id, md5(f) AS look, md5(t) AS exact FROM (SELECT id, t, {canonical_sql('t')} AS f FROM given) WHERE regexp_matches(f, '[^[:space:]]')"
+        forms = Canonical.shared()
+        sql = "SELECT id, md5(f) AS look, md5(t) AS exact FROM (SELECT id, t, {form} AS f FROM given) WHERE regexp_matches(f, '[^[:space:]]')"
         for batch in sliced(batches):
-            con.register("given", pa.Table.from_batches([batch]))
-            yield from con.sql(sql).to_arrow_table().to_batches()
+            yield from forms.over(pa.Table.from_batches([batch]), sql).to_arrow_table().to_batches()
 
     done = spread(rows).mapInArrow(run, "id string, look string, exact string")
     return done.dropDuplicates(["id", "look", "exact"]).select(F.lit(item).alias("item"), "id", "look", "exact")
@@ -142,13 +192,12 @@ def same_look_pairs(classes: DataFrame) -> DataFrame:
     never meet each other; then differing stored texts of a class are paired, and only those pairs are expanded to
     their members.
     """
-    texts = classes.groupBy("item", "look", "exact").agg(F.count(F.lit(1)).alias("n"))
+    texts = classes.select("item", "look", "exact").distinct()
     several = texts.groupBy("item", "look").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("item", "look")
-    kept = classes.join(several, ["item", "look"], "left_semi")
-    a, b = (kept.select("item", "look", F.col("id").alias(f"id_{s}"), F.col("exact").alias(f"exact_{s}")) for s in "ab")
-    return (
-        a.join(b, ["item", "look"])
-        .where("id_a < id_b and exact_a <> exact_b")
-        .select("item", "id_a", "id_b")
-        .distinct()
-    )
+    kept = texts.join(several, ["item", "look"], "left_semi")
+    a, b = (kept.select("item", "look", F.col("exact").alias(f"exact_{s}")) for s in "ab")
+    pairs = a.join(b, ["item", "look"]).where("exact_a < exact_b")
+    for s in "ab":
+        members = classes.select("item", F.col("look"), F.col("exact").alias(f"exact_{s}"), F.col("id").alias(s))
+        pairs = pairs.join(members, ["item", "look", f"exact_{s}"])
+    return pairs.where("a <> b").select("item", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
