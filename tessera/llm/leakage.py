@@ -6,19 +6,24 @@ each word, stands in some item. Runs of at least `least` words name the items an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
 from .automaton import SuffixAutomaton
-from .canonical import Canonical, sliced
+from .canonical import INVISIBLE, SEVERAL, Canonical, sliced
 
 LEAST_WORDS = 12
-#: Test items are a stated, bounded set: beyond this many characters fitting is refused instead of broadcasting it.
-MOST_ITEM_CHARS = 200_000_000
+#: Test items are sent to the tasks in blocks of about this many characters, each in a pass of its own over the corpus.
+#: A block of a million characters (200 000 words) takes some 150 MB in a worker.
+BLOCK_CHARS = 1_000_000
+# What the consistent form makes words of, or drops: letters, digits, marks, invisible characters and signs for several letters.
+INNER = r"[\p{L}\p{N}\p{M}" + INVISIBLE.strip("[]+") + "".join(map(re.escape, SEVERAL)) + "]+"
 
 
 class PassageFinder:
@@ -29,6 +34,7 @@ class PassageFinder:
 
         self.least = least
         self.word = regex.compile(r"[\p{L}\p{N}]+")
+        self.inner = regex.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{m[1]:0>8}", INNER))
         self.ids: dict[str, int] = {}
         self.automaton = SuffixAutomaton()
         own: dict[int, set[int]] = {}
@@ -76,75 +82,102 @@ class PassageFinder:
                 seen = min(seen, self.automaton.length[state])
         return found
 
-    def cleaned(self, text: str) -> tuple[str, int, int]:
-        """The text without the matched runs, the words removed and the words in all."""
-        found = list(self.word.finditer(text))
-        spans = [m.span() for m in found]
-        drop: list[tuple[int, int]] = []
-        for at, matched, _ in self.matches([m.group().lower() for m in found]):
-            first = at - matched + 1
-            while drop and drop[-1][0] >= first:
-                drop.pop()
-            drop.append((max(first, drop[-1][1] + 1) if drop else first, at))
-        kept, begin = [], 0
-        for first, final in drop:
-            kept.append(text[begin : spans[first][0]])
-            begin = spans[final][1]
-        kept.append(text[begin:])
-        return "".join(kept), sum(b - a + 1 for a, b in drop), len(spans)
-
-
-def finder(items: DataFrame, key: str, text: str, least: int = LEAST_WORDS) -> PassageFinder:
-    """Fit on the stated test set, in consistent form; its size is checked before it is gathered."""
+    def cleaned(self, stored: list[str], forms: Canonical) -> list[tuple[str, int]]:
+        """Stored texts without the matched runs, as they are written otherwise, and the words removed from each.
+
+        Runs of characters that the consistent form makes words of are brought into that form one by one, so that each
+        word leads back to its place; a run that holds a matched word goes as a whole.
+        """
+        runs = [list(self.inner.finditer(t)) for t in stored]
+        spelled = iter(forms([m.group() for own in runs for m in own]))
+        out = []
+        for text, own in zip(stored, runs, strict=True):
+            words, of = [], []
+            for i in range(len(own)):
+                found = self.word.findall(next(spelled).lower())
+                words += found
+                of += [i] * len(found)
+            drop: list[tuple[int, int]] = []
+            for at, matched, _ in self.matches(words):
+                first = at - matched + 1
+                while drop and drop[-1][0] >= first:
+                    drop.pop()
+                drop.append((max(first, drop[-1][1] + 1) if drop else first, at))
+            kept, begin = [], 0
+            for first, final in drop:
+                kept.append(text[begin : max(begin, own[of[first]].start())])
+                begin = own[of[final]].end()
+            out.append(("".join([*kept, text[begin:]]), sum(b - a + 1 for a, b in drop)))
+        return out
+
+
+def finders(items: DataFrame, key: str, text: str, least: int = LEAST_WORDS, block: int = BLOCK_CHARS) -> list[PassageFinder]:
+    """Fit on the stated test set, in consistent form, in blocks of about `block` characters; one item is never divided."""
     rows = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").dropDuplicates()
-    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    if chars > MOST_ITEM_CHARS:
-        raise ValueError(f"the test items hold {chars} characters; split them into sets of at most {MOST_ITEM_CHARS}")
-    found = rows.collect()
-    forms = Canonical()([r.t for r in found])
-    return PassageFinder([(r.k, form) for r, form in zip(found, forms, strict=True)], least)
+    made, now, held = [], [], 0
+    for row in rows.toLocalIterator():
+        now.append(row)
+        held += len(row.t)
+        if held >= block:
+            made.append(_fitted(now, least))
+            now, held = [], 0
+    return [*made, _fitted(now, least)] if now or not made else made
 
 
-def _scan(df: DataFrame, key: str, text: str, fitted: PassageFinder, each, schema: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(fitted)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("t"))
+def _fitted(rows: list, least: int) -> PassageFinder:
+    return PassageFinder([(r.k, form) for r, form in zip(rows, Canonical()([r.t for r in rows]), strict=True)], least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finds, form = shared.value, Canonical.shared()
-        for batch in sliced(batches):
-            out = [row for k, t in zip(batch.column(0).to_pylist(), form(batch.column(1)), strict=True) for row in each(finds, k, t)]
-            names = [x.split()[0] for x in schema.split(", ")]
-            kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
-            columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spread(rows).mapInArrow(run, schema)
-
-
-def leaks(df: DataFrame, key: str, text: str, fitted: PassageFinder) -> DataFrame:
+def leaks(df: DataFrame, key: str, text: str, fitted: list[PassageFinder]) -> DataFrame:
     """One row per document and item: doc_id, item_id, words (the longest run). Null and empty texts hold nothing.
 
-    Every row of the corpus counts for itself; a repeated key gives one row per item.
+    Every row of the corpus counts for itself; a repeated key gives one row per item. Each block of items is one pass.
     """
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"))
 
-    def each(finds: PassageFinder, k, t):
-        return [(k, item, words) for item, words in finds.items(t.lower()).items()] if t else []
+    def passed(one: PassageFinder) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(one)
 
-    found = _scan(df.where(F.col(key).isNotNull()), key, text, fitted, each, "doc_id bigint, item_id bigint, words int")
-    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finds, form = shared.value, Canonical.shared()
+            for batch in sliced(batches):
+                texts = zip(batch.column(0).to_pylist(), form(batch.column(1)), strict=True)
+                out = [(k, item, words) for k, t in texts if t for item, words in finds.items(t.lower()).items()]
+                columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "words"])
 
+        return spread(rows).mapInArrow(run, "doc_id bigint, item_id bigint, words int")
 
-def without_leaks(df: DataFrame, key: str, text: str, fitted: PassageFinder, coverage: float = 0.5) -> DataFrame:
-    """Each document in consistent form with leaked runs removed: doc_id, text, removed (words), words, dropped.
+    found = reduce(DataFrame.unionByName, map(passed, fitted))
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
-    Where more than `coverage` of the words leaked the text comes out null and dropped is 1. Null stays null.
-    """
 
-    def each(finds: PassageFinder, k, t):
-        if t is None:
-            return [(k, None, 0, 0, 0)]
-        kept, removed, words = finds.cleaned(t)
-        gone = int(removed > coverage * words)
-        return [(k, None if gone else kept, removed, words, gone)]
+def without_leaks(df: DataFrame, key: str, text: str, fitted: list[PassageFinder], coverage: float = 0.5) -> DataFrame:
+    """Each document as stored with leaked runs removed: doc_id, text, removed (words), words, dropped.
 
-    return _scan(df, key, text, fitted, each, "doc_id bigint, text string, removed int, words int, dropped int")
+    Where more than `coverage` of the words leaked the text comes out null and dropped is 1. Null stays null. Each block
+    of items is a pass over what the one before it left.
+    """
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lit(0).alias("removed"), F.lit(None).cast("int").alias("words"))
+
+    def passed(rows: DataFrame, one: PassageFinder) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finds, form = shared.value, Canonical.shared()
+            for batch in sliced(batches):
+                texts, removed, words = (batch.column(i).to_pylist() for i in (1, 2, 3))
+                hit = []
+                for i, t in enumerate(form(batch.column(1))):
+                    spelled = finds.word.findall((t or "").lower())
+                    words[i] = len(spelled) if words[i] is None else words[i]
+                    if next(finds.matches(spelled), None):
+                        hit.append(i)
+                for i, (text, more) in zip(hit, finds.cleaned([texts[i] for i in hit], form), strict=True):
+                    texts[i], removed[i] = text, removed[i] + more
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(words, pa.int32())], names=["doc_id", "text", "removed", "words"])
+
+        return spread(rows).mapInArrow(run, "doc_id bigint, text string, removed int, words int")
+
+    gone = F.col("removed") > coverage * F.col("words")
+    return reduce(passed, fitted, rows).select("doc_id", F.when(~gone, F.col("text")).alias("text"), "removed", "words", gone.cast("int").alias("dropped"))

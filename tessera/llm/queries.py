@@ -37,8 +37,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents longer than each chunk size, and those with a run that no boundary can divide."""
-    settings = dict(splitting.settings_of(table(spark, d, "ablation_cell")))  # the largest overlap of each size
-    report = splitting.split_report(table(spark, d, "source_docs"), "doc_id", "content", sorted(settings.items()))
+    report = splitting.split_report(table(spark, d, "source_docs"), "doc_id", "content", splitting.settings_of(table(spark, d, "ablation_cell")))
     kinds = F.array(F.when(F.col("pieces") > 1, F.lit("split")), F.when((F.col("run") > F.col("chunk_size")) & (F.col("forced") > 0), F.lit("forced")))
     rows = report.select("doc_id", "chunk_size", F.explode(kinds).alias("kind"))
     return rows.where("kind is not null").distinct()
@@ -143,13 +142,13 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
-    fitted = leakage.finder(table(spark, d, "eval_item"), "item_id", "text")
+    fitted = leakage.finders(table(spark, d, "eval_item"), "item_id", "text")
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", fitted).select("doc_id", "item_id")
 
 
 def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """How much leaked text was cut from each document, and which documents fall away."""
-    fitted = leakage.finder(table(spark, d, "eval_item"), "item_id", "text")
+    fitted = leakage.finders(table(spark, d, "eval_item"), "item_id", "text")
     return leakage.without_leaks(table(spark, d, "documents"), "doc_id", "text", fitted).where("removed > 0").drop("text")
 
 

@@ -30,7 +30,7 @@ def test_look_alikes_become_equal_and_visible_differences_stay():
 
 def test_form_is_stable_on_random_text():
     r = random.Random(4)
-    alphabet = canonical.FROM + "aeoAEOuUyY" + canonical.TONES + "̛̣̂̆" + " \n"
+    alphabet = "".join(canonical.COMMON) + "".join(canonical.SEVERAL) + "".join(canonical.SINGLE)[::9] + "aeoAEOuUyY" + canonical.TONES + "̛̣̂̆" + " \n"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(400)]
     once = FORM(texts)
     assert FORM(once) == once
@@ -141,12 +141,25 @@ def test_leaks_ignore_case_marks_and_look_alikes(spark):
     near = " ".join(passage.split()[:11]) + " gap"
     rows = [(1, "Pre. " + passage.upper().replace(" ", ",\n")), (2, near), (3, None), (4, ""), (5, passage.replace("o", "о").replace(" ", " ")), (1, passage), (None, passage)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    fitted = leakage.finder(items, "item_id", "text")
+    fitted = leakage.finders(items, "item_id", "text")
     assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(docs, "doc_id", "text", fitted).collect()) == [(1, 1), (1, 2), (5, 1), (5, 2)]
     clean = {r.doc_id: r for r in leakage.without_leaks(docs.where("doc_id <> 1"), "doc_id", "text", fitted).collect()}
     assert clean[5].dropped == 1 and clean[5].text is None and clean[2].removed == 0 and clean[3].text is None
     longer = spark.createDataFrame([(9, "keep this " + passage + ". and this " + "x " * 40)], "doc_id bigint, text string")
     kept = leakage.without_leaks(longer, "doc_id", "text", fitted).first()
     assert kept.text.startswith("keep this . and this") and kept.removed == 13
-    empty = leakage.finder(items.limit(0), "item_id", "text")
+    parts = leakage.finders(items, "item_id", "text", block=10)
+    assert len(parts) > 1
+    assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(docs, "doc_id", "text", parts).collect()) == [(1, 1), (1, 2), (5, 1), (5, 2)]
+    empty = leakage.finders(items.limit(0), "item_id", "text")
     assert leakage.leaks(docs, "doc_id", "text", empty).count() == 0
+
+
+def test_cleaned_text_is_as_stored(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    stored = "Это \u200dмир, می\u200cخواهم \uff21. " + passage.replace("e", "\u0435").replace(" ", "\u00a0") + "! Đà Nẵng e\u0301 ℃ №5 " + "filler " * 40
+    docs = spark.createDataFrame([(1, stored), (2, None), (3, "")], "doc_id bigint, text string")
+    fitted = leakage.finders(spark.createDataFrame([(1, passage)], "item_id bigint, text string"), "item_id", "text")
+    got = {r.doc_id: r for r in leakage.without_leaks(docs, "doc_id", "text", fitted).collect()}
+    assert got[1].text == stored[: stored.index("on\u0435")] + stored[stored.index("! Đà") :] and got[1].removed == 13 and got[1].dropped == 0
+    assert got[2].text is None and got[2].dropped == 0 and got[3].text == ""
