@@ -14,6 +14,8 @@ from ..functions import vector as V
 
 #: A stated query set up to this many numbers is sent to every task; a larger one is searched in blocks.
 QUERY_BLOCK = 4_000_000
+#: Rows (query and bucket) of a stated query set that are sent to every task.
+QUERY_ROWS = 200_000
 #: Rows of a scope that one task of a similarity join holds of either side, and how many are compared at once.
 JOIN_BLOCK, JOIN_STRIP = 8_000, 1_000
 
@@ -143,8 +145,11 @@ def cached(queries: DataFrame, entries: DataFrame, threshold: float = 0.96) -> D
 
 def sparse_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, item_id, score, rank by inner product of sparse vectors (id, bucket, weight); items without overlap
-    never appear. The inverted index is an equi-join on the bucket; AQE splits buckets of common words."""
+    never appear. The inverted index is an equi-join on the bucket. Queries of a checked size go to the corpus, whose
+    rows then stay where they are and combine before the shuffle; with more of them AQE splits buckets of common words."""
     q = queries.toDF("query_id", "bucket", "qw")
+    if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        q = F.broadcast(q)
     c = corpus.toDF("item_id", "bucket", "cw")
     scores = q.join(c, "bucket").groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("qw") * F.col("cw")), 6).alias("score"))
     return ranked(scores, "query_id", F.desc("score"), F.col("item_id"), k=k)

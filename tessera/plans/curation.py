@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk as C
 from ..operators import curate as K
+from ..operators import passages as P
 from ..sources.tables import table
 from .registry import query
 
@@ -43,7 +44,8 @@ def dedupe_members(spark, d):
     return found.select(F.col("id").alias("query_id"), F.col("scope").alias("category"), "class_id", "representative", "members", "links")
 
 
-_SPANS = "SELECT i.item_id, d.doc_id, instr(d.text, i.text) - 1 AS s, instr(d.text, i.text) - 1 + length(i.text) AS e FROM eval_item i JOIN documents d ON contains(d.text, i.text)"
+_SPANS = """SELECT item_id, doc_id, s - 1 AS s, s - 1 + n AS e FROM (SELECT i.item_id, d.doc_id, length(i.text) AS n, unnest(list_filter(range(1, length(d.text) - length(i.text) + 2), lambda x: substr(d.text, x::INT, length(i.text)) = i.text)) AS s
+    FROM eval_item i JOIN documents d ON contains(d.text, i.text) WHERE i.text <> '')"""
 
 
 @query(
@@ -51,10 +53,9 @@ _SPANS = "SELECT i.item_id, d.doc_id, instr(d.text, i.text) - 1 AS s, instr(d.te
     SELECT s.item_id, s.doc_id, c.chunk_index, (least(e, stop) - greatest(s, start))::INT AS shared FROM ({_SPANS}) s JOIN c USING (doc_id) WHERE s < stop AND start < e AND (least(e, stop) - greatest(s, start) >= 0.5 * (e - s) OR least(e, stop) - greatest(s, start) >= 0.5 * (stop - start))"""
 )
 def span_overlaps(spark, d):
-    items = table(spark, d, "eval_item").select("item_id", F.col("text").alias("passage"))
+    """Slices of documents that hold half of a passage, or half of which it fills, for every place of the passage."""
     docs = table(spark, d, "documents").where("length(text) > 0")
-    at = F.expr("position(passage in text)") - 1
-    spans = docs.join(items, F.contains("text", F.col("passage"))).select("item_id", "doc_id", at.alias("s"), (at + F.length("passage")).alias("e"))
+    spans = P.occurrences(docs, "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text")
     slices = C.hard_slices(docs, "doc_id", "text", 400, 350).select("doc_id", "chunk_index", "start", (F.col("start") + F.length("content")).alias("stop"))
     return K.overlaps(spans, slices).select("item_id", "doc_id", "chunk_index", "shared")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import metrics as M
+from ..operators import passages as P
 from ..operators import retrieve as R
 from ..sources.tables import table
 from .registry import query
@@ -75,18 +76,17 @@ def _hybrid(spark, d):
     FROM gold LEFT JOIN hits ON hits.query_id = gold.item_id GROUP BY GROUPING SETS ((), (lang))"""
 )
 def hybrid_passages(spark, d):
-    """Held-out passages searched in the corpus by two branches, fused, and scored where they stand verbatim.
-
-    The items are a stated set in blocks: each document meets all of them in one pass of `contains`.
-    """
+    """Held-out passages searched in the corpus by two branches, fused, and scored where they stand verbatim."""
     items, docs = table(spark, d, "eval_item"), table(spark, d, "documents").where("text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    small = F.broadcast(items) if size < 50_000_000 else items
-    stands = docs.join(small.select("item_id", F.col("text").alias("passage")), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    gold = items.select("item_id", "lang").join(stands.groupBy("item_id").agg(F.collect_list("doc_id").alias("relevant")), "item_id", "left")
-    gold = gold.withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>"))).withColumnRenamed("item_id", "query_id")
-    hits = _hybrid(spark, d).select("query_id", "item_id", "rank")
-    scored = M.query_metrics(hits, gold.select("query_id", "relevant"), ["query_id"], recalls=(10,)).join(gold.select("query_id", "lang"), "query_id")
+    stands = P.occurrences(docs, "doc_id", "text", items, "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id")).distinct()
+    labels = stands.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    gold = items.select(F.col("item_id").alias("query_id"), "lang").join(labels, "query_id", "left").withColumn("n_relevant", F.coalesce("n", F.lit(0)))
+    hits = _hybrid(spark, d).select("query_id", "item_id", "rank").join(stands, ["query_id", "item_id"])
+    found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("h"), F.max(1 / F.col("rank")).alias("rr"))
+    known = lambda c: F.when(F.col("n_relevant") > 0, c)
+    scored = gold.join(found, "query_id", "left").select(
+        "lang", "n_relevant", known(F.coalesce("h", F.lit(0)) / F.col("n_relevant")).alias("recall_10"), known(F.coalesce("rr", F.lit(0.0))).alias("mrr")
+    )
     return M.summary(scored, ["recall_10", "mrr"], [[], ["lang"]])
 
 
@@ -182,12 +182,12 @@ def filter_selectivity(spark, d):
     return rows.select("doc_id", "chunks", F.round(F.col("n") / total, 6).alias("share"))
 
 
-@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND " + _DOT.replace("q.", "a.").replace("c.", "b.") + " >= 0.2")
+@query("SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label AS label FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND " + _DOT.replace("q.", "a.").replace("c.", "b.") + " >= 0.2")
 def cosine_neighbours(spark, d):
-    """Similar items of one label for the stated queries, among larger ids only; `cosine_pairs` joins all rows."""
+    """Similar items of one label for the stated queries, against all rows; `cosine_pairs` joins all rows."""
     e = table(spark, d, "embeddings")
     a, b = (e.select(F.col("vec_id").alias(f"id_{s}"), "label", F.col("embedding").alias(s)) for s in "ab")
-    pairs = a.where("id_a % 100 = 0").join(b, "label").where("id_a < id_b")
+    pairs = a.where("id_a % 100 = 0").join(b, "label").where("id_a <> id_b")
     return pairs.where(V.dot(F.col("a"), F.col("b")) >= 0.2).select("id_a", "id_b", "label")
 
 
