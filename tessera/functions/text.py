@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,6 +186,64 @@ def injection_flags(text: Column) -> Column:
     return F.filter(F.array(*[F.when(flat.rlike(rule), F.lit(name)) for name, rule in INJECTION_RULES.items()]), lambda x: x.isNotNull())
 
 
+# Letters and signs that stand in for plain ones in disguised instructions, and invisible characters.
+STAND_INS = ("АВЕІЈКМНОРСТУХаеорсухіјѕһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡɛ‘’“”‐‑‒–—", "ABEIJKMHOPCTYXaeopcyxijshdqwABEZHIKMNOPTYXoge''\"\"-----")
+UNSEEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+
+
+def _scan_table() -> tuple[str, str]:
+    """Compatibility characters of one plain character by the public Unicode data, and the stand-ins; the unseen go."""
+    table = {c: n for c in map(chr, range(0xA0, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c}
+    table = {c: n for c, n in table.items() if c not in UNSEEN} | dict(zip(*STAND_INS, strict=True))
+    return "".join(table) + UNSEEN, "".join(table.values())
+
+
+def _mark_table() -> tuple[str, str]:
+    """Letters with accents and the letter below them."""
+    table = {"đ": "d", "Đ": "D"}
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0].isalpha() and all(map(unicodedata.combining, parts[1:])):
+            table[c] = parts[0]
+    return "".join(table), "".join(table.values())
+
+
+SCAN_TABLE, MARK_TABLE = _scan_table(), _mark_table()
+
+
+def scan_form(text: Column) -> Column:
+    """The form in which rules are looked for: plain characters, single blanks and line ends, lower case."""
+    plain = F.translate(text, *SCAN_TABLE)
+    return F.lower(F.regexp_replace(F.regexp_replace(plain, r"[ \t\x0B\f\r]+", " "), r"\n{2,}", "\n"))
+
+
+def without_marks(text: Column) -> Column:
+    """Without accents, whether written in one character or after the letter."""
+    return F.regexp_replace(F.translate(text, *MARK_TABLE), r"\p{M}+", "")
+
+
+def injection_findings(text: Column, seen: Column, plain: Column) -> Column:
+    """Names of the rules that match the scan form (seen) or the same without accents (plain), in order, and mixed_script
+    for a word of several alphabets in the text as it is. Make both columns first, so that each is made once."""
+    rules = [F.when(seen.rlike(rule) | plain.rlike(rule), F.lit(name)) for name, rule in INJECTION_RULES.items()]
+    return F.filter(F.array(*rules, F.when(F.size(mixed_script_words(text)) > 0, F.lit("mixed_script"))), lambda x: x.isNotNull())
+
+
+# Public shapes of credentials, and what stands in their place.
+CREDENTIALS = {
+    r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=\-]{8,}": r"${1} [secret]",
+    r"\b(?:sk|pk|rk)-[A-Za-z0-9_\-]{8,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bAKIA[0-9A-Z]{16}\b|\bxox[abprs]-[A-Za-z0-9\-]{10,}": "[secret]",
+    r"(?i)\b(api[_\-]?key|password|passwd|secret|token)(\s*[=:]\s*)[^\s,;]+": r"${1}${2}[secret]",
+}
+
+
+def without_credentials(text: Column) -> Column:
+    """Keys, tokens and passwords replaced."""
+    for shape, instead in CREDENTIALS.items():
+        text = F.regexp_replace(text, shape, instead.replace("${1}", "$1").replace("${2}", "$2"))
+    return text
+
+
 def mixed_script_words(text: Column) -> Column:
     """Words whose letters come from more than one alphabet."""
     found = F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
@@ -191,8 +251,9 @@ def mixed_script_words(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """E-mail addresses, phone numbers, card numbers (with a right check digit) and 12-digit ids as placeholders."""
-    out = F.regexp_replace(F.regexp_replace(text, EMAIL, "[email]"), PHONE, "[sđt]")
+    """Credentials, then e-mail addresses, phone numbers, card numbers (with a right check digit) and 12-digit ids as
+    placeholders."""
+    out = F.regexp_replace(F.regexp_replace(without_credentials(text), EMAIL, "[email]"), PHONE, "[sđt]")
     cards = F.filter(F.regexp_extract_all(out, F.lit(CARD), F.lit(0)), lambda c: F.call_function("luhn_check", F.regexp_replace(c, "[ -]", "")))
     out = F.aggregate(cards, out, lambda acc, card: F.replace(acc, F.rtrim(card), F.lit("[thẻ]")))
     return F.regexp_replace(out, NATIONAL_ID, "[cccd]")

@@ -111,3 +111,33 @@ def token_report(texts: DataFrame, limit: int, special: int = 2, neighbour: int
     out = sums.withColumn("budget", budget).withColumn("suggested", F.greatest(F.lit(0).cast("bigint"), F.col("budget") - 2 * neighbour)).withColumn("density_p05", F.round("d", 6)).drop("d")
     safe = F.min(F.when(~F.col("overall"), F.col("suggested"))).over(Window.partitionBy(F.lit(0)))  # a row a language
     return out.withColumn("safe", safe)
+
+
+def refusals(rows: DataFrame, unanswerable: str, refused: str, *groups: str) -> DataFrame:
+    """groups, answers, unjudged, recall, false_refusal, accuracy of refusals; rows without label or answer are unjudged."""
+    u, r = F.col(unanswerable), F.col(refused)
+    known = u.isNotNull() & r.isNotNull()
+    share = lambda part, of: F.round(F.count_if(part) / F.nullif(F.count_if(of), F.lit(0)), 6)
+    return rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if(~known).alias("unjudged"), share(r & u, known & u).alias("recall"),
+        share(r & ~u, known & ~u).alias("false_refusal"), share(known & (r == u), known).alias("accuracy"),
+    )
+
+
+def grounding(cited: DataFrame, uncited: DataFrame, again: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One row of measures from labels of cited claims (ref, l), of uncited ones (ref, l), of second judgements (ref, any:
+    whether some source supports it), and the share of verified quotes (quotes).
+
+    Claims labelled NO_CLAIM are left out. misattribution: failed cited claims that some source supports, among the
+    supported ones and the failed ones judged again.
+    """
+    counted = lambda df, i: df.agg(F.count_if(F.col("l") == "SUPPORTED").alias(f"s{i}"), F.count_if(F.col("l") != "NO_CLAIM").alias(f"n{i}"))
+    failed = cited.where(F.col("l").isin("NOT_FOUND", "CONTRADICTED")).join(again, "ref").agg(F.count_if("any").alias("wrong"), F.count(F.lit(1)).alias("again"))
+    row = counted(cited, 1).crossJoin(counted(uncited, 2)).crossJoin(failed).crossJoin(quotes)  # one row each
+    share = lambda part, of: F.round(part / F.nullif(of, F.lit(0)), 6)
+    s1, n1, s2, n2 = (F.col(c) for c in ("s1", "n1", "s2", "n2"))
+    return row.select(
+        n1.alias("claims"), share(s1, n1).alias("faithfulness"), n2.alias("uncited_claims"), share(s2, n2).alias("uncited_grounding"),
+        share(s1 + s2, n1 + n2).alias("derived"), share(n1, n1 + n2).alias("cited_share"), share(F.col("wrong"), s1 + F.col("again")).alias("misattribution"),
+        F.round("quotes", 6).alias("quote_level"),
+    )

@@ -155,16 +155,17 @@ def sparse_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return ranked(scores, "query_id", F.desc("score"), F.col("item_id"), k=k)
 
 
-def fused(lists: list[DataFrame], weights: list[float] | None = None, k: float = 60, limit: int | None = None) -> DataFrame:
+def fused(lists: list[DataFrame], weights: list[float | Column] | None = None, k: float = 60, limit: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, item_id, rank): query_id, item_id, score, best, lists, rank.
 
-    A key may stand once in a list. Equal scores go to the better best rank, the earlier list, the smaller key; the
+    A weight is a number or a column of its list. A key may stand once in a list. Equal scores go to the better best rank, the earlier list, the smaller key; the
     limit applies after fusing. k must not be negative.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     weights = weights or [1.0] * len(lists)
-    parts = [df.select("query_id", "item_id", "rank").withColumn("list", F.lit(i)).withColumn("part", F.lit(float(w)) / (F.lit(float(k)) + F.col("rank"))) for i, (df, w) in enumerate(zip(lists, weights, strict=True))]
+    weigh = lambda w: w if isinstance(w, Column) else F.lit(float(w))
+    parts = [df.select("query_id", "item_id", "rank", F.lit(i).alias("list"), (weigh(w) / (F.lit(float(k)) + F.col("rank"))).alias("part")) for i, (df, w) in enumerate(zip(lists, weights, strict=True))]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)

@@ -56,11 +56,16 @@ def _log_choose(n: Column, k: Column) -> Column:
 
 
 def mcnemar(better: Column, worse: Column) -> Column:
-    """Exact two-sided p of unequal discordant counts; 1 where there are none."""
+    """Exact two-sided p of unequal discordant counts; 1 where there are none. Linear in their number: each chance
+    follows from the one before it."""
     n, top = better + worse, F.greatest(better, worse)
+    first = F.exp(_log_choose(n, n - top) - n * F.log(F.lit(2.0)))
+    further = F.when(top < n, F.sequence((top + 1).cast("bigint"), n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     tail = F.aggregate(
-        F.sequence(top.cast("bigint"), n.cast("bigint")), F.lit(0.0), lambda s, x: s + F.exp(_log_choose(n, n - x) - n * F.log(F.lit(2.0)))
-    )
+        further, F.struct(first.alias("t"), first.alias("s")),
+        lambda acc, x: F.struct((acc["t"] * (n - x + 1) / x).alias("t"), (acc["s"] + acc["t"] * (n - x + 1) / x).alias("s")),
+        lambda acc: acc["s"],
+    )
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -197,6 +202,128 @@ def verdict(comparison: DataFrame, intervals: DataFrame, alpha: float = 0.05) ->
     return both.select("metric", "diff", "low", "high", "p", named.alias("verdict"))
 
 
+#: Metrics of yes or no for each query, by the start of their names.
+BINARY = ("hit", "precision_1")
+#: Metrics that don't depend on how many labels a query has, by the start of their names.
+SCALE_FREE = ("hit", "precision", "mrr")
+#: Metrics of which more is better; of all others less is.
+HIGHER_BETTER = ("ndcg", "mrr", "hit", "recall", "precision", "map")
+
+
+def starts(metric: Column, names: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for name in names:
+        out = out | metric.startswith(name)
+    return out
+
+
+def tested(pairs: DataFrame, group: str, alpha: float = 0.05, corrected: bool = True) -> DataFrame:
+    """group, metric, test, n, mean_a, mean_b, diff, better, worse, p, alpha, verdict of paired differences.
+
+    Metrics of yes or no are tested by McNemar, others by the sign test, both exact. With `corrected` alpha is divided
+    by the number of groups times metrics. Verdicts in order: identical, underpowered (no outcome could reach alpha),
+    within noise, split (the mean and the majority point apart), real difference.
+    """
+    sums = pairs.groupBy(group, "metric").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg("diff").alias("d"),
+        F.count_if(F.col("diff") > 1e-9).alias("better"), F.count_if(F.col("diff") < -1e-9).alias("worse"),
+    )
+    whole = Window.partitionBy(F.lit(0))  # a row a group and metric
+    family = F.size(F.collect_set(F.coalesce(F.col(group), F.lit("\0"))).over(whole)) * F.size(F.collect_set("metric").over(whole)) if corrected else F.lit(1)
+    rows = sums.withColumn("alpha", F.lit(alpha) / family).withColumn("p", mcnemar(F.col("better"), F.col("worse")))
+    verdict = (
+        F.when((F.col("better") + F.col("worse") == 0) & (F.abs("d") < 1e-12), "identical")
+        .when(least_p(F.col("better") + F.col("worse")) >= F.col("alpha"), "underpowered")
+        .when(F.col("p") >= F.col("alpha"), "within noise")
+        .when((F.col("better") - F.col("worse")) * F.col("d") <= 0, "split")
+        .otherwise("real difference")
+    )
+    test = F.when(starts(F.col("metric"), BINARY), "mcnemar").otherwise("sign")
+    return rows.select(
+        group, "metric", test.alias("test"), "n", F.round("ma", 6).alias("mean_a"), F.round("mb", 6).alias("mean_b"), F.round("d", 6).alias("diff"),
+        "better", "worse", F.round("p", 6).alias("p"), F.round("alpha", 9).alias("alpha"), verdict.alias("verdict"),
+    )
+
+
+def winner_buckets(tests: DataFrame, runs: DataFrame, group: str, top: str) -> DataFrame:
+    """group, bucket, worse, better of every run: top, equivalent (in no metric worse than the top), beaten (in all),
+    contested (in some), incomparable (nothing shared). better counts metrics in which it truly beats the top."""
+    real = F.col("verdict") == "real difference"
+    counts = tests.groupBy(group).agg(F.count_if(real & (F.col("diff") < 0)).alias("worse"), F.count_if(real & (F.col("diff") > 0)).alias("better"), F.count(F.lit(1)).alias("usable"))
+    bucket = (
+        F.when(F.col(group) == top, "top").when(F.col("usable").isNull(), "incomparable").when(F.col("worse") == 0, "equivalent")
+        .when(F.col("worse") == F.col("usable"), "beaten").otherwise("contested")
+    )
+    zero = F.lit(0).cast("bigint")
+    return runs.select(group).distinct().join(counts, group, "left").select(group, bucket.alias("bucket"), F.coalesce("worse", zero).alias("worse"), F.coalesce("better", zero).alias("better"))
+
+
+def flagged(pairs: DataFrame, key: Column, alpha: float = 0.05, draws: int | None = None) -> DataFrame:
+    """metric, test, diff, low, high, p, resolution, unstable, split, verdict, each metric by the test that suits it.
+
+    Metrics of yes or no are judged by McNemar's exact p. Others are judged by the bootstrap's bounds unless the bound
+    nearest to zero lies within one step of the grid (resolution) or loses its sign one standard deviation of the
+    tail's count away (unstable): then the row is inconclusive. Where mean and majority point apart it is contradictory.
+    """
+    tail = alpha / 2
+    sums = resample_sums(pairs.where("diff is not null"), "metric", "diff", key, draws or resamples(tail, start=10_000))
+    means = sums.where("k > 0").select("metric", (F.col("kv") / F.col("k")).alias("m"))
+    own = Window.partitionBy("metric")
+    placed = means.withColumn("i", F.row_number().over(own.orderBy("m")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
+    held = F.floor(F.col("n") * tail + 1e-9)
+    place = {"low": held, "high": F.least(F.col("n") - 1, F.floor(F.col("n") * (1 - tail) + 1e-9))}
+
+    def at(name: str, shift: int) -> Column:
+        where = F.greatest(F.lit(0), F.least(F.col("n") - 1, place[name] + shift * F.ceil(F.sqrt(held))))
+        return F.max(F.when(F.col("i") == where, F.col("m")))
+
+    found = placed.groupBy("metric").agg(*[at(name, shift).alias(f"{name}{shift + 1}") for name in place for shift in (-1, 0, 1)])
+    sums = pairs.groupBy("metric").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("diff").alias("d"), F.count_if(F.col("diff") > 1e-9).alias("better"), F.count_if(F.col("diff") < -1e-9).alias("worse"),
+        F.min(F.when(F.abs("diff") > 1e-9, F.abs("diff"))).alias("least"),
+    )
+    rows = sums.join(found, "metric").withColumn("p", mcnemar(F.col("better"), F.col("worse")))
+    low_near = F.abs("low1") <= F.abs("high1")
+    rows = rows.withColumns({
+        "binary": starts(F.col("metric"), BINARY),
+        "resolution": F.coalesce(F.least(F.abs("low1"), F.abs("high1")) < F.col("least") / F.col("n"), F.lit(False)),
+        "unstable": (F.when(low_near, F.col("low0")).otherwise(F.col("high0")) <= 0) & (F.when(low_near, F.col("low2")).otherwise(F.col("high2")) >= 0),
+        "split": (F.abs("d") > 1e-12) & (F.col("better") + F.col("worse") > 0) & ((F.col("better") - F.col("worse")) * F.col("d") <= 0),
+        "outside": (F.col("low1") > 0) | (F.col("high1") < 0),
+    })
+    verdict = (
+        F.when((F.col("better") + F.col("worse") == 0) & (F.abs("d") < 1e-12), "identical")
+        .when(F.col("binary") & (least_p(F.col("better") + F.col("worse")) >= alpha), "underpowered")
+        .when(F.col("binary"), F.when(F.col("p") < alpha, "real difference").otherwise("within noise"))
+        .when(F.col("outside") & (F.col("resolution") | F.col("unstable")), "inconclusive")
+        .when(F.col("outside") & F.col("split"), "contradictory")
+        .when(F.col("outside"), "real difference")
+        .when(F.col("resolution"), "inconclusive")
+        .otherwise("within noise")
+    )
+    return rows.select(
+        "metric", F.when(F.col("binary"), "mcnemar").otherwise("bootstrap").alias("test"), F.round("d", 6).alias("diff"), F.round("low1", 6).alias("low"), F.round("high1", 6).alias("high"),
+        F.round("p", 6).alias("p"), "resolution", "unstable", "split", verdict.alias("verdict"),
+    )
+
+
+def group_contrast(pairs: DataFrame, group: str, key: Column, draws: int | None = None, level: float = 0.95) -> DataFrame:
+    """group, delta, low, high, verdict: how far the mean difference of the best group lies above that of each other one.
+
+    Both are resampled apart, so the groups need not share queries; only metrics that don't depend on the number of
+    labels may be compared so. Verdicts: top, truly above, or not distinguishable.
+    """
+    tail = (1 - level) / 2
+    deltas = pairs.groupBy(group).agg(F.avg("diff").alias("delta"))
+    best = deltas.orderBy(F.round("delta", 9).desc(), group).limit(1).select(F.col(group).alias("best"))
+    sums = resample_sums(pairs.where(F.col("diff").isNotNull()), group, "diff", key, draws or resamples(tail, start=10_000)).where("k > 0").withColumn("m", F.col("kv") / F.col("k"))
+    ahead = sums.join(F.broadcast(best), F.col(group) == F.col("best")).select("draw", F.col("m").alias("top"))  # a row a draw
+    apart = sums.join(F.broadcast(best), F.col(group) != F.col("best")).join(ahead, "draw").select(group, (F.col("top") - F.col("m")).alias("m"))
+    found = deltas.join(bounds(apart, [group], tail, 1), group, "left")
+    verdict = F.when(F.col("low").isNull(), "top").when(F.col("low") > 0, "truly above").otherwise("not distinguishable")
+    return found.select(group, F.round("delta", 6).alias("delta"), "low", "high", verdict.alias("verdict"))
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, wanted: int, seed: str = "0") -> DataFrame:
     """At most `wanted` rows of each stratum in hash order, with the weight that stands for the stratum's rows."""
     w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed + "/"), F.col(key))), key)
