@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..sources.tables import spread
 
 # Words before a full stop that do not end a sentence.
-ABBREVIATIONS = frozenset("tp. ts. th. pgs. gs. ths. tt. ubnd. no. mr. mrs. dr. e.g. i.e. vs. etc. approx. art. p. pp. vol.".split())
+ABBREVIATIONS = frozenset("tp. tt. q. p. gs. pgs. ts. ths. bs. vd. vs. v.v. no. st. mr. ms. dr. fig. usd.".split())
 _END = re.compile(r"([.!?…])(?=\s|$)(?:\s+|$)")
 _NUMBER = re.compile(r"\[(\d{1,6})\]")
 
@@ -73,13 +73,9 @@ def located(needle: str, text: str, start: int = 0, end: int | None = None) -> t
 
 def snapped(text: str, start: int, end: int, most: int = 200) -> tuple[int, int]:
     """A span widened to white space on either side, by a bounded number of characters."""
-    a = start
-    while a > max(0, start - most) and not text[a - 1].isspace():
-        a -= 1
-    b = end
-    while b < min(len(text), end + most) and not text[b].isspace():
-        b += 1
-    return a, b
+    before = re.search(r"\S*$", text[max(0, start - most) : start])
+    after = re.match(r"\S*", text[end : end + most])
+    return start - len(before.group()), end + len(after.group())
 
 
 def plain_letters(text: str) -> str:

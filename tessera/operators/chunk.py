@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from ..sources.tables import spread
 Span = tuple[int, int]
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 _HEADING = re.compile(r"^(?:(#{1,6})\s+(\S.*)|((?:Chapter|Section|Article|Chương|Mục|Điều)\s+\d+\b.*))$", re.MULTILINE)
+_WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n\s*\n")
 #: Texts per Arrow slice, in bytes.
 SLICE = 4_000_000
@@ -80,17 +83,21 @@ def sentence_spans(text: str) -> list[Span]:
     return [s for s in (_stripped(text, span) for span in zip(cuts, cuts[1:], strict=False)) if s]
 
 
+@lru_cache(maxsize=300_000)
+def word_bucket(word: str, buckets: int) -> int:
+    """A bucket of a word by eight bytes of BLAKE2b."""
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "big") % buckets
+
+
 def hashed_vectors(texts: list[str], dims: int = 128) -> np.ndarray:
     """The deterministic encoder: log counts of hashed words at length one."""
-    from hashlib import blake2b
-
     out = np.zeros((len(texts), dims))
     for row, text in enumerate(texts):
         counts: dict[str, int] = {}
         for word in re.findall(r"\w+", text.lower()):
             counts[word] = counts.get(word, 0) + 1
         for word, n in counts.items():
-            out[row, int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "big") % dims] += np.log1p(n)
+            out[row, word_bucket(word, dims)] += np.log1p(n)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
@@ -141,7 +148,35 @@ def family(text: str, size: int = 500, factor: int = 4) -> list[Span]:
     return [(a + x, a + y) for a, b in recursive(text, size * factor, 0) for x, y in recursive(text[a:b], size, 0)]
 
 
-STRATEGIES: dict[str, Callable[..., list[Span]]] = {"fixed": recursive, "semantic": semantic, "structure": structured, "family": family}
+def budgeted(text: str, limit: int, count: Callable[[str], int] = lambda t: len(_WORD.findall(t)), size: int = 1000, rounds: int = 5, shrink: float = 0.85) -> list[Span]:
+    """Spans of at most `limit` tokens. Those above it are split again by characters in proportion, less by `shrink` in
+    each round, and what is still above it after the rounds is cut by halves."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    spans = recursive(text, size, 0)
+    for turn in range(rounds):
+        next_spans: list[Span] = []
+        for a, b in spans:
+            n = count(text[a:b])
+            if n <= limit:
+                next_spans.append((a, b))
+            else:
+                next_spans += [(a + x, a + y) for x, y in recursive(text[a:b], max(1, int((b - a) * limit / n * shrink**turn)), 0)]
+        spans = next_spans
+    out: list[Span] = []
+    todo = spans[::-1]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1 and count(text[a:b]) > limit:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+        else:
+            out.append((a, b))
+    return out
+
+
+STRATEGIES: dict[str, Callable[..., list[Span]]] = {"fixed": recursive, "semantic": semantic, "structure": structured, "family": family, "budget": budgeted}
+#: Documents up to which the hybrid strategy looks for changes of topic.
+FEW_DOCUMENTS = 5
 
 
 def chunked(df: DataFrame, key: str, text: str, strategy: str = "fixed", **options) -> DataFrame:
@@ -167,13 +202,34 @@ def chunked(df: DataFrame, key: str, text: str, strategy: str = "fixed", **optio
     return spread(rows).mapInArrow(run, schema)
 
 
+def hybrid(df: DataFrame, key: str, text: str, most: int = FEW_DOCUMENTS) -> DataFrame:
+    """Chunks by topic for a small batch of documents, of fixed size for a larger one; an added column names the way."""
+    small = df.where(F.col(text).isNotNull()).limit(most + 1).count() <= most
+    chosen = "semantic" if small else "fixed"
+    return chunked(df, key, text, chosen).withColumn("strategy", F.lit(chosen))
+
+
 def parent_child(df: DataFrame, key: str, text: str, size: int = 500, factor: int = 4) -> DataFrame:
     """Children without overlap inside parents of factor times their size: child rows with parent_id, parent_start
-    and parent_end."""
-    up, down = chunked(df, key, text, "fixed", size=size * factor, overlap=0), chunked(df, key, text, "family", size=size, factor=factor)
-    spans = up.select("doc_id", F.col("chunk_id").alias("parent_id"), F.col("start").alias("parent_start"), F.col("end").alias("parent_end"))
-    inside = (F.col("start") >= F.col("parent_start")) & (F.col("end") <= F.col("parent_end"))
-    return down.join(spans, "doc_id").where(inside)
+    and parent_end, made in one pass over the texts."""
+    rows = df.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null and t is not null")
+    schema = "doc_id string, chunk_id string, chunk_index int, start int, end int, content string, section array<string>, parent_id string, parent_start int, parent_end int"
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(len(batch) * SLICE / max(1, batch.nbytes)))
+            for at in range(0, len(batch), step):
+                out = []
+                for doc, content in zip(batch.column(0).slice(at, step).to_pylist(), batch.column(1).slice(at, step).to_pylist(), strict=True):
+                    i, found = 0, headings(content)
+                    for p, (a, b) in enumerate(recursive(content, size * factor, 0)):
+                        for x, y in recursive(content[a:b], size, 0):
+                            out.append((doc, f"{doc}::{i:05d}", i, a + x, a + y, content[a + x : a + y], section_at(found, a + x), f"{doc}::{p:05d}", a, b))
+                            i += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return spread(rows).mapInArrow(run, schema)
 
 
 def hard_slices(df: DataFrame, key: str, text: str, size: int, step: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, written
+
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row for each key, the first in the given order."""
@@ -74,6 +76,39 @@ def jaccard_members(sets: DataFrame, threshold: float) -> DataFrame:
     return records.join(linked, ["scope", "key"]).select("id", "scope", F.col("key").alias("class_id"), "representative", "members", "links")
 
 
+def greedy_members(sets: DataFrame, threshold: float, *richness: str) -> DataFrame:
+    """id, scope, kept_by of every record (id, scope, tokens, ..), once: records are gone through from the richest on (by
+    numeric columns, then by id), and one that reaches the threshold with a kept record of its scope is dropped for the
+    richest such one, else kept.
+
+    Records with equal tokens fall to their richest one first, so only classes are compared. A class is kept once all its
+    richer neighbours are dropped, and dropped once one of them is kept; rounds go on until all are decided, and each
+    decides at least the richest open class of every group.
+    """
+    w = Window.partitionBy("scope", "key").orderBy(*[F.desc(c) for c in richness], "id")
+    key = F.when(F.size("tokens") > 0, F.md5(F.array_join(F.array_sort("tokens"), " "))).otherwise(F.col("id").cast("string"))
+    rows = sets.where("scope is not null and tokens is not null").withColumn("key", key).withColumn("n", F.row_number().over(w))
+    members = rows.select("id", "scope", "key").distinct()
+    first = rows.where("n = 1").withColumn("r", F.struct(*[(-F.col(c)).alias(f"o{i}") for i, c in enumerate(richness)], "id"))
+    heads = written(first.select("scope", "key", "id", "r"))
+    links = _alike(sets.where("scope is not null and tokens is not null"), threshold).select("scope", "key_a", "key_b")
+    ends = links.unionByName(links.select("scope", F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b")))
+    for s in "ab":
+        ends = ends.join(heads.select("scope", F.col("key").alias(f"key_{s}"), F.col("r").alias(f"r_{s}")), ["scope", f"key_{s}"])
+    richer = written(ends.where("r_b < r_a").select("scope", "key_a", "key_b", "r_b"))  # key_b goes before key_a
+    state = cut(heads.select("scope", "key", F.lit(None).cast("boolean").alias("kept")))
+    while True:
+        near = richer.join(state.select("scope", F.col("key").alias("key_b"), F.col("kept").alias("k")), ["scope", "key_b"])
+        seen = near.groupBy("scope", F.col("key_a").alias("key")).agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("some"), F.bool_or(F.col("k").isNull()).alias("open"))
+        now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("some"), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = cut(state.join(seen, ["scope", "key"], "left").select("scope", "key", now.alias("kept")))
+        if not state.where("kept is null").limit(1).count():
+            break
+    chosen = richer.join(state.where("kept").select("scope", F.col("key").alias("key_b")), ["scope", "key_b"]).groupBy("scope", F.col("key_a").alias("key")).agg(F.min("r_b")["id"].alias("other"))
+    named = heads.join(state, ["scope", "key"]).join(chosen, ["scope", "key"], "left").select("scope", "key", F.when(F.col("kept"), F.col("id")).otherwise(F.col("other")).alias("kept_by"))
+    return members.join(named, ["scope", "key"]).select("id", "scope", "kept_by")
+
+
 def overlaps(spans: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Spans (doc_id, span_id, s, e) joined with the chunks (doc_id, chunk_id, start, stop) that they overlap by at
     least the ratio of either's length."""
@@ -112,3 +147,9 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     shown = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     return df.withColumn("_n", F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key "), shown))).otherwise(n)).where("_n = 1").drop("_n")
+
+
+def fingerprint(*columns: str) -> Column:
+    """SHA-256 of columns joined by bars; a null is empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)

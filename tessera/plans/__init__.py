@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "retrieval", "evaluation", "chunking", "comparison", "curation", "guards", "operations", "answers", "incremental", "streams")
+MODULES = ("scalars", "retrieval", "evaluation", "chunking", "comparison", "curation", "guards", "operations", "answers", "incremental", "reports", "streams")
 
 
 def load() -> None:

@@ -47,6 +47,17 @@ def chunk_structure(spark, d):
     return C.chunked(_docs(spark, d), "doc_id", "content", "structure")
 
 
+@query()
+def chunk_budgeted(spark, d):
+    """Chunks of at most 120 words."""
+    return C.chunked(_docs(spark, d), "doc_id", "content", "budget", limit=120)
+
+
+@query()
+def chunk_hybrid(spark, d):
+    return C.hybrid(_docs(spark, d), "doc_id", "content")
+
+
 @query()
 def chunk_parent_child(spark, d):
     return C.parent_child(_docs(spark, d), "doc_id", "content")

@@ -44,6 +44,17 @@ def dedupe_members(spark, d):
     return found.select(F.col("id").alias("query_id"), F.col("scope").alias("category"), "class_id", "representative", "members", "links")
 
 
+@query()
+def dedupe_greedy(spark, d):
+    """Every draft with the one that stands for it, richer drafts first: more labels, then longer questions."""
+    drafts = table(spark, d, "golden_draft").where("query is not null and category is not null")
+    rows = drafts.select(
+        F.col("query_id").alias("id"), F.col("category").alias("scope"), T.token_set(F.col("query")).alias("tokens"),
+        F.size(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>"))).alias("labels"), F.length("query").alias("chars"),
+    )
+    return K.greedy_members(rows, 0.8, "labels", "chars").select(F.col("id").alias("query_id"), F.col("scope").alias("category"), "kept_by")
+
+
 _SPANS = """SELECT item_id, doc_id, s - 1 AS s, s - 1 + n AS e FROM (SELECT i.item_id, d.doc_id, length(i.text) AS n, unnest(list_filter(range(1, length(d.text) - length(i.text) + 2), lambda x: substr(d.text, x::INT, length(i.text)) = i.text)) AS s
     FROM eval_item i JOIN documents d ON contains(d.text, i.text) WHERE i.text <> '')"""
 

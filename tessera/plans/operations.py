@@ -77,14 +77,27 @@ def daily_spend(spark, d):
     return rows.select("event_id", "tenant", F.round("spent", 4).alias("spent"))
 
 
-@query()
+_STEPS = "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(
+    _STEPS + """, r AS (SELECT user_id, event_id, n, sec, 2.0::DOUBLE AS level, true AS allowed FROM e WHERE n = 1
+    UNION ALL SELECT user_id, event_id, n, sec, CASE WHEN l >= 1 THEN l - 1 ELSE l END, l >= 1 FROM (SELECT e.*, least(3.0, r.level + greatest(0.0, e.sec - r.sec) * 0.02 / 60) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, event_id, allowed FROM r"""
+)
 def token_bucket(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
     rows = e.withColumn("seconds", F.col("us") / 1e6).select("user_id", "event_id", "ts", "seconds")
     return O.token_bucket(rows, "user_id", "seconds", ["ts", "event_id"], per_minute=0.02, burst=3).select("user_id", "event_id", "allowed")
 
 
-@query()
+@query(
+    _STEPS + """, r AS (SELECT user_id, event_id, n, coalesce(failed, false)::INT AS cnt, NULL::DOUBLE AS since, 'closed' AS state FROM e WHERE n = 1
+    UNION ALL SELECT user_id, event_id, n, CASE WHEN named = 'open' OR failed IS NULL THEN cnt WHEN NOT failed THEN 0 ELSE cnt + 1 END,
+    CASE WHEN named = 'open' OR failed IS NULL THEN since WHEN NOT failed THEN NULL WHEN cnt + 1 >= 3 OR named = 'probe' THEN sec ELSE NULL END, named FROM (SELECT e.*, r.cnt, r.since,
+    CASE WHEN r.since IS NOT NULL AND e.sec - r.since < 86400 THEN 'open' WHEN r.since IS NULL THEN 'closed' ELSE 'probe' END AS named FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, event_id, state FROM r"""
+)
 def circuit_states(spark, d):
     e = table(spark, d, "events")
     event = F.struct((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") == "error").alias("failed"))

@@ -59,7 +59,8 @@ def label_digests(spark, d):
     return drafts.select("query_id", T.label_digest(F.col("relevant_chunk_ids")).alias("digest"))
 
 
-@query()
+@query(r"""SELECT doc_id, (i - 1)::INT AS sentence, ps[i] AS content FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?…])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '\n[ \t\n\x0B\f\r]*\n', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ps
+    FROM documents WHERE text IS NOT NULL))""")
 def sentence_pieces(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence", "content"))
@@ -107,7 +108,19 @@ def rule_languages(spark, d):
     return docs.select("doc_id", T.language(F.col("text")).alias("lang"))
 
 
-@query()
+def _words_sql(block: str) -> str:
+    return "[" + ",".join(f"'{w}'" for w in block.split()) + "]"
+
+
+_CORE, _SOCIAL = _words_sql(T.SOCIAL_CORE), _words_sql(f"{T.SOCIAL_CORE} {T.SOCIAL_PARTICLES} {T.SOCIAL_ADDRESS}")
+_STOP = _words_sql(f"{T.COMMON_ENGLISH} {T.SOCIAL_CORE} {T.SOCIAL_PARTICLES} {T.REFERENCE_WORDS} {T.VIETNAMESE_FUNCTION}")
+
+
+@query(
+    f"""WITH t AS (SELECT id, regexp_extract_all(regexp_replace(lower(content), '[''’ʼ]', '', 'g'), '{T.WORD}') AS ws FROM message WHERE role = 'user' AND content IS NOT NULL),
+    c AS (SELECT id, len(ws) > 0 AND len(list_filter(ws, lambda w: NOT list_contains({_SOCIAL}, w))) = 0 AND list_has_any(ws, {_CORE}) AS social, len(list_filter(ws, lambda w: NOT list_contains({_STOP}, w))) AS content FROM t)
+    SELECT id, CASE WHEN social THEN 'no_retrieval' WHEN content = 0 THEN 'clarify' ELSE 'retrieve' END AS route, false AS needs_rewrite, CASE WHEN social THEN 'social' WHEN content = 0 THEN 'no_content' ELSE 'content' END AS reason FROM c"""
+)
 def question_routes(spark, d):
     turns = table(spark, d, "message").where("role = 'user' and content is not null")
     return turns.select("id", T.route(F.col("content"), F.lit(False)).alias("r")).select("id", "r.*")
@@ -150,7 +163,11 @@ def layout_quality(spark, d):
     return docs.select("doc_id", F.round(T.gutter_ratio(F.col("content")), 6).alias("gutter"), F.round(T.words_per_line(F.col("content")), 6).alias("per_line"))
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT doc_id, content, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') AS ls, length(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS seen FROM source_docs WHERE content IS NOT NULL)
+    SELECT doc_id, len(regexp_extract_all(content, '{T.WORD}')) >= 60 AND len(regexp_extract_all(content, '\\p{{L}}')) / nullif(seen, 0) >= 0.6 AND len(list_filter(ls, lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r] {{3,}}[^ \\t\\n\\x0B\\f\\r]'))) / nullif(len(ls), 0) <= 0.3
+    AND coalesce(list_sum(list_transform(ls, lambda x: len(regexp_extract_all(x, '{T.WORD}')))), 0) / nullif(len(ls), 0) >= 10 AS prose FROM l"""
+)
 def prose_documents(spark, d):
     docs = table(spark, d, "source_docs").where("content is not null")
     return docs.select("doc_id", T.looks_like_prose(F.col("content")).alias("prose"))

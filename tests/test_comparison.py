@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import answers as A
+from tessera.operators import chunk as C
+from tessera.operators import curate as K
 from tessera.operators import gate as G
 from tessera.operators import metrics as M
 from tessera.operators import passages as P
@@ -109,3 +112,41 @@ def test_refusals_and_grounding(spark):
     again = spark.createDataFrame([("2", True), ("3", False), ("1", True)], "ref string, backed boolean").withColumnRenamed("backed", "any")
     one = M.grounding(cited, cited.limit(0), again, spark.createDataFrame([(0.5,)], "quotes double")).first()
     assert (one.claims, one.faithfulness, one.uncited_claims, one.uncited_grounding, one.misattribution) == (3, round(1 / 3, 6), 0, None, round(1 / 3, 6))
+
+
+def test_greedy_dedupe_against_going_through_in_order(spark):
+    r = random.Random(6)
+    base = [[f"w{r.randint(0, 60)}" for _ in range(9)] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(9)] = f"n{r.randint(0, 3)}"
+        rows.append((f"q{i:03d}", "ab"[i % 2], sorted(set(words)), r.randint(0, 3)))
+    rows += [("e1", "a", [], 1), ("e2", "a", [], 2), ("n", None, ["x"], 1)]
+    got = {x.id: x.kept_by for x in K.greedy_members(spark.createDataFrame(rows, "id string, scope string, tokens array<string>, rich int"), 0.8, "rich").collect()}
+    kept, want = [], {}
+    for i, scope, tokens, _ in sorted((x for x in rows if x[1]), key=lambda x: (-x[3], x[0])):
+        near = [k for k, s, t in kept if s == scope and tokens and len(set(tokens) & set(t)) >= 0.8 * len(set(tokens) | set(t)) - 1e-12]
+        want[i] = near[0] if near else i
+        if not near:
+            kept.append((i, scope, tokens))
+    assert got == want and len(set(want.values())) < len(want)
+
+
+def test_chunks_within_a_token_budget():
+    r = random.Random(7)
+    for text in [" ".join("x" * r.randint(1, 12) for _ in range(900)), "long" * 700, "a " * 3000, "", "Z" * 50]:
+        spans = C.budgeted(text, 60, len, size=400)
+        assert all(b - a <= 60 for a, b in spans) and "".join(text[a:b] for a, b in spans).replace(" ", "") == text.replace(" ", "")
+    with pytest.raises(ValueError):
+        C.budgeted("x", 0)
+
+
+def test_hybrid_chunks_choose_by_the_batch(spark):
+    df = spark.createDataFrame([(str(i), "One sentence here. Another one there. A third one. " * 9) for i in range(6)], "d string, t string")
+    assert {x.strategy for x in C.hybrid(df, "d", "t").collect()} == {"fixed"} and {x.strategy for x in C.hybrid(df.limit(2), "d", "t").collect()} == {"semantic"}
+
+
+def test_spans_snap_to_white_space():
+    assert A.snapped("one twothree four", 6, 9) == (4, 12) and A.snapped("abc", 0, 3) == (0, 3) and A.snapped("x" * 900, 450, 451, 200) == (250, 651)
