@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def index_update(old: DataFrame, new: DataFrame) -> DataFrame:
     """What to do with every chunk (doc_id, chunk_index, digest) between two states.
@@ -52,16 +54,18 @@ def merged_metrics(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     return both.withColumn("_n", F.when(F.col("_n") > 1, clash).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
 
 
-def trace_tree(spans: DataFrame, most_depth: int = 20) -> DataFrame:
-    """Each span (trace, id, parent) with its depth below the root; a missing parent makes a root.
+def trace_tree(spans: DataFrame) -> DataFrame:
+    """Each span (trace, id, parent) with its depth below the root; a missing parent makes a root, and a span in a circle
+    has a null depth.
 
     One join a level over the spans that are still open, so work ends with the deepest trace.
     """
-    level = spans.join(spans.select("trace", F.col("id").alias("parent")), ["trace", "parent"], "left_anti").select("trace", "id").withColumn("depth", F.lit(0))
-    out = level
-    for depth in range(1, most_depth + 1):
-        level = spans.join(level.select("trace", F.col("id").alias("parent")), ["trace", "parent"]).select("trace", "id").withColumn("depth", F.lit(depth))
-        if level.isEmpty():
-            return out
+    known = spans.select("trace", F.col("id").alias("parent"))
+    level = cut(spans.join(known, ["trace", "parent"], "left_anti").select("trace", "id").distinct().withColumn("depth", F.lit(0)))
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        below = spans.join(level.select("trace", F.col("id").alias("parent")), ["trace", "parent"]).select("trace", "id").distinct()
+        level = cut(below.join(out.select("trace", "id"), ["trace", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         out = out.unionByName(level)
-    raise RuntimeError(f"spans are nested deeper than {most_depth}, or in a circle")
+    return spans.select("trace", "id").distinct().join(out, ["trace", "id"], "left")

@@ -88,25 +88,26 @@ def auc(df: DataFrame, score: str, positive: str, *groups: str) -> DataFrame:
 def token_report(texts: DataFrame, limit: int, special: int = 2, neighbour: int = 100) -> DataFrame:
     """Token statistics over all texts (lang, n, chars) and of each language, with the chunk size that would fit.
 
-    Percentiles are at the rounded place. The budget in characters goes by the 5th percentile of characters a token,
-    suggested leaves room for the neighbours' context on both sides, safe is its minimum over languages.
+    Percentiles are at the rounded place, from counts of distinct values. The budget in characters goes by the 5th
+    percentile of characters a token (to four digits), suggested leaves room for the neighbours' context on both sides,
+    safe is its minimum over languages.
     """
-    density = F.when(F.col("n") > 0, F.col("chars") / F.col("n"))
+    density = F.round(F.when(F.col("n") > 0, F.col("chars") / F.col("n")), 4)
     scopes = F.array(F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("overall"), F.col("lang").cast("string").alias("lang")))
     rows = texts.select("n", "chars", density.alias("d"), F.explode(scopes).alias("s")).select("s.*", "n", "chars", "d")
-    group = Window.partitionBy("overall", "lang")
-    placed = rows.withColumn("i", F.row_number().over(group.orderBy("n")) - 1).withColumn("j", F.row_number().over(group.orderBy(F.col("d").asc_nulls_last())) - 1)
-    placed = placed.withColumn("c", F.count(F.lit(1)).over(group)).withColumn("cd", F.count("d").over(group))
+    keys = ["overall", "lang"]
 
-    def at(value: str, place: str, count: str, share: float) -> Column:
-        return F.max(F.when(F.col(place) == F.rint(F.lit(share) * (F.col(count) - 1)), F.col(value)))
+    def at(value: str, **shares: float) -> DataFrame:
+        found = ordered_values(rows, value, *keys).groupBy(*keys).agg(*[value_at(F.rint(F.lit(share) * (F.col("n") - 1))).alias(name) for name, share in shares.items()])
+        return found.select(F.col("overall").alias("_o"), F.col("lang").alias("_l"), *shares)
 
     kept = F.sum(F.least("n", F.lit(limit)))
-    sums = placed.groupBy("overall", "lang").agg(
+    sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(F.col("n") > limit).alias("truncated"), F.sum("n").alias("tokens"), kept.alias("kept"),
-        F.round(1 - kept / F.nullif(F.sum("n"), F.lit(0)), 6).alias("lost"), at("n", "i", "c", 0.5).alias("p50"), at("n", "i", "c", 0.95).alias("p95"), F.max("n").alias("longest"),
-        at("d", "j", "cd", 0.05).alias("d"),
+        F.round(1 - kept / F.nullif(F.sum("n"), F.lit(0)), 6).alias("lost"), F.max("n").alias("longest"),
     )
+    for found in (at("n", p50=0.5, p95=0.95), at("d", d=0.05)):
+        sums = sums.join(found, F.col("overall").eqNullSafe(F.col("_o")) & F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_o", "_l")
     budget = F.floor((limit - special) * F.coalesce("d", F.lit(0.0)))
     out = sums.withColumn("budget", budget).withColumn("suggested", F.greatest(F.lit(0).cast("bigint"), F.col("budget") - 2 * neighbour)).withColumn("density_p05", F.round("d", 6)).drop("d")
     safe = F.min(F.when(~F.col("overall"), F.col("suggested"))).over(Window.partitionBy(F.lit(0)))  # a row a language

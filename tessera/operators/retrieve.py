@@ -16,10 +16,17 @@ from ..functions import vector as V
 QUERY_BLOCK = 4_000_000
 #: Rows (query and bucket) of a stated query set that are sent to every task.
 QUERY_ROWS = 200_000
+#: Vectors of a stated query set that are sent to every task.
+QUERY_VECTORS = 10_000
 #: Rows of a scope that one task of a similarity join holds of either side, and how many are compared at once.
 JOIN_BLOCK, JOIN_STRIP = 8_000, 1_000
 
 
+def stated(df: DataFrame, most: int) -> DataFrame:
+    """A stated set for a join: sent to every task if it has at most so many rows, else joined by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
     words = df.select(key, F.explode(T.words(F.lower(F.col(text)))).alias("w"))
     return words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
@@ -137,7 +144,7 @@ def cached(queries: DataFrame, entries: DataFrame, threshold: float = 0.96) -> D
     Both sides have (id, namespace, vector, guard). Only an entry of the same namespace with an equal guard (the digit
     tokens of the text) counts, and never the query itself; equal scores go to the smaller id.
     """
-    q, e = queries.toDF("query_id", "space", "a", "guard"), entries.toDF("found", "space", "b", "guard")
+    q, e = stated(queries.toDF("query_id", "space", "a", "guard"), QUERY_VECTORS), entries.toDF("found", "space", "b", "guard")
     pairs = q.join(e, ["space", "guard"]).where("query_id <> found").withColumn("s", V.cosine(F.col("a"), F.col("b"))).where(F.col("s") >= threshold)
     best = pairs.withColumn("s", F.round("s", 6)).groupBy("query_id").agg(F.min_by("found", F.struct(-F.col("s"), F.col("found"))).alias("found"), F.max("s").alias("score"))
     return q.select("query_id").join(best, "query_id", "left")
@@ -147,9 +154,7 @@ def sparse_top(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, item_id, score, rank by inner product of sparse vectors (id, bucket, weight); items without overlap
     never appear. The inverted index is an equi-join on the bucket. Queries of a checked size go to the corpus, whose
     rows then stay where they are and combine before the shuffle; with more of them AQE splits buckets of common words."""
-    q = queries.toDF("query_id", "bucket", "qw")
-    if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
-        q = F.broadcast(q)
+    q = stated(queries.toDF("query_id", "bucket", "qw"), QUERY_ROWS)
     c = corpus.toDF("item_id", "bucket", "cw")
     scores = q.join(c, "bucket").groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("qw") * F.col("cw")), 6).alias("score"))
     return ranked(scores, "query_id", F.desc("score"), F.col("item_id"), k=k)

@@ -74,7 +74,7 @@ def cache_lookup(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("a"))
     c = e.select("vec_id", "label", F.col("embedding").alias("b"))
-    pairs = q.join(c, "label").where("query_id <> vec_id").withColumn("s", F.round(V.dot(F.col("a"), F.col("b")), 6))
+    pairs = c.join(R.stated(q, R.QUERY_VECTORS), "label").where("query_id <> vec_id").withColumn("s", F.round(V.dot(F.col("a"), F.col("b")), 6))
     return pairs.groupBy("query_id").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("found"), F.max("s").alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import stats as S
+from ..session import written
 from ..sources.tables import table
 from .registry import query
 from .retrieval import branch
@@ -95,7 +96,7 @@ _AT = "list_sort(list({0}))[round_even({1} * (count({0}) - 1), 0)::INT + 1]"
 @query(
     f"""WITH t AS (SELECT lang, length(text) AS chars, len(regexp_extract_all(text, '{T.WORD}')) AS n FROM documents WHERE text IS NOT NULL),
     s AS (SELECT grouping(lang) = 1 AS overall, lang, count(*) AS texts, count(*) FILTER (n > 256) AS truncated, sum(n)::BIGINT AS tokens, sum(least(n, 256))::BIGINT AS kept, round(1 - sum(least(n, 256)) / nullif(sum(n), 0), 6) AS lost,
-    {_AT.format('n', 0.5)}::INT AS p50, {_AT.format('n', 0.95)}::INT AS p95, max(n)::INT AS longest, list_sort(list(chars / n) FILTER (n > 0))[round_even(0.05 * (count(*) FILTER (n > 0) - 1), 0)::INT + 1] AS d FROM t GROUP BY GROUPING SETS ((), (lang))),
+    {_AT.format('n', 0.5)}::INT AS p50, {_AT.format('n', 0.95)}::INT AS p95, max(n)::INT AS longest, list_sort(list(round(chars / n, 4)) FILTER (n > 0))[round_even(0.05 * (count(*) FILTER (n > 0) - 1), 0)::INT + 1] AS d FROM t GROUP BY GROUPING SETS ((), (lang))),
     b AS (SELECT *, floor(254 * coalesce(d, 0))::BIGINT AS budget FROM s), g AS (SELECT *, greatest(0, budget - 200)::BIGINT AS suggested FROM b)
     SELECT overall, lang, texts, truncated, tokens, kept, lost, p50, p95, longest, budget, suggested, round(d, 6) AS density_p05, min(suggested) FILTER (NOT overall) OVER () AS safe FROM g"""
 )
@@ -193,7 +194,7 @@ def branch_bootstrap(spark, d):
 )
 def branch_verdict(spark, d):
     """By the 200 resamples of `branch_bootstrap`; `branch_decisions` draws enough."""
-    pairs = _sides(spark, d)
+    pairs = written(_sides(spark, d))
     return S.verdict(S.compared(pairs), S.bootstrap(pairs, F.col("query_id")))
 
 
@@ -204,7 +205,7 @@ def branch_intervals(spark, d):
 
 @query()
 def branch_decisions(spark, d):
-    pairs = _sides(spark, d)
+    pairs = written(_sides(spark, d))
     return S.verdict(S.compared(pairs), S.intervals(pairs, F.col("query_id")))
 
 

@@ -187,7 +187,7 @@ def cosine_neighbours(spark, d):
     """Similar items of one label for the stated queries, against all rows; `cosine_pairs` joins all rows."""
     e = table(spark, d, "embeddings")
     a, b = (e.select(F.col("vec_id").alias(f"id_{s}"), "label", F.col("embedding").alias(s)) for s in "ab")
-    pairs = a.where("id_a % 100 = 0").join(b, "label").where("id_a <> id_b")
+    pairs = b.join(R.stated(a.where("id_a % 100 = 0"), R.QUERY_VECTORS), "label").where("id_a <> id_b")
     return pairs.where(V.dot(F.col("a"), F.col("b")) >= 0.2).select("id_a", "id_b", "label")
 
 

@@ -43,7 +43,7 @@ def shipped(spark: SparkSession) -> SparkSession:
         with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
             for file in sorted(root.rglob("*.py")):
                 archive.write(file, file.relative_to(root.parent))
-        path = _new_path(spark)
+        path = new_path(spark)
         target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{root.name}.zip")
         out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
         out.write(bytearray(packed.getvalue()))
@@ -78,7 +78,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Plans may read the table as long as the driver lives; it is removed when the driver ends.
     """
-    path = _new_path(df.sparkSession)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -86,7 +86,7 @@ def written(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def _new_path(spark: SparkSession) -> str:
+def new_path(spark: SparkSession) -> str:
     """A new place in the shared folder, which is removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     if not _WRITTEN:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import new_path
 from ..sources.tables import table
 
 
@@ -20,14 +18,16 @@ def events_stream(spark: SparkSession, folder: str, delay: str = "1 hour") -> Da
 def final_state(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there and give the last state of its result."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base, done = new_path(spark), set()
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out-{number}")  # a batch that runs again replaces itself
+        done.add(number)
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(store).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    kept = [f"{base}/out-{n}" for n in (sorted(done)[-1:] if mode == "complete" else sorted(done))]
+    return spark.read.schema(stream.schema).parquet(*kept) if kept else spark.createDataFrame([], stream.schema)
 
 
 def windowed(stream: DataFrame, size: str, slide: str | None = None) -> DataFrame:
