@@ -183,6 +183,26 @@ _RUN = "[^\\t\\n\\x{0B}\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028
 _VOTE = "replace(trim(regexp_replace(upper({}), '[\\s\\p{{Z}}_\\-]+', ' ', 'g')), ' ', '_')"
 _LABELS = "('SUPPORTED', 'NOT_FOUND', 'NO_CLAIM', 'CONTRADICTED')"
 
+# A form written for the checks alone, apart from the operator's tables: invisible characters go, widths, spaces and
+# look-alike letters are mapped, NFC composes, and a shape under a tone is put first.
+_GONE = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
+_WIDTHS = "concat(" + ", ".join(f"chr({0xFF01 + i})" for i in range(94)) + ")", "concat(" + ", ".join(f"chr({0x21 + i})" for i in range(94)) + ")"
+_LETTERS = "concat('АВЕІЈКМНОРСТУХаеорсухіјѕԁһԛԝӏ', 'ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο', 'ɑɡÐƉ', '‐‑ʼ', chr(160), chr(8239), chr(8287), chr(12288), " + ", ".join(f"chr({c})" for c in range(0x2000, 0x200B)) + ")"
+_PLAIN = "concat('ABEIJKMHOPCTYXaeopcyxijsdhqwl', 'ABEZHIKMNOPTYXo', 'agĐĐ', '--’', repeat(' ', 15))"
+_SEEN = f"nfc_normalize(translate(translate(regexp_replace(COLUMN, '{_GONE}', '', 'g'), {_WIDTHS[0]}, {_WIDTHS[1]}), {_LETTERS}, {_PLAIN}))"
+
+
+def _form(column: str) -> str:
+    tones = "".join(map(chr, (0x300, 0x301, 0x303, 0x309)))
+    ordered = f"regexp_replace(SEEN, '([{tones}])([\\x{{323}}]?)([\\x{{302}}\\x{{306}}])', '\\3\\2\\1', 'g')".replace("SEEN", _SEEN.replace("COLUMN", column))
+    late = f"nfc_normalize({ordered})"
+    for shape in (0x302, 0x306):
+        for letter in ("aeoAEO" if shape == 0x302 else "aA"):
+            for tone in tones:
+                late = f"replace({late}, concat(nfc_normalize('{letter}{tone}'), chr({shape})), nfc_normalize(concat('{letter}', chr({shape}), '{tone}')))"
+    return late
+
+
 #: Only for operators that SQL can say, over whole tables, in good time; the others have tests against brute force,
 #: round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
@@ -197,15 +217,15 @@ ORACLES: dict[str, str] = {
         t AS (SELECT count(*) AS items, sum(m)::BIGINT AS votes, sum(same / (m - 1)) / sum(m) AS o FROM p), x AS (SELECT sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS e FROM e)
         SELECT items, votes, round(o, 9) AS observed, round(e, 9) AS expected, round(1 - (1 - o) / (1 - e), 9) AS alpha FROM t, x""",
     "p5_found": f"""WITH r AS (SELECT DISTINCT 'doc' AS item, doc_id AS id, content AS t FROM source_docs WHERE content IS NOT NULL UNION SELECT DISTINCT 'query', query_id, query FROM golden_draft WHERE query IS NOT NULL),
-        f AS (SELECT item, id, t, {canonical.canonical_sql('t')} AS form FROM r)
+        f AS (SELECT item, id, t, {_form('t')} AS form FROM r)
         SELECT DISTINCT a.item, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.item = b.item AND a.form = b.form AND a.id < b.id AND a.t <> b.t WHERE regexp_matches(a.form, '[^[:space:]]')""",
-    "p6_found": f"""WITH r AS (SELECT DISTINCT query_id AS id, coalesce(category, '') AS scope, list_distinct({_WORDS.format(canonical.canonical_sql('query'))}) AS w FROM golden_draft WHERE query IS NOT NULL AND regexp_matches({canonical.canonical_sql('query')}, '[^[:space:]]'))
+    "p6_found": f"""WITH r AS (SELECT DISTINCT query_id AS id, coalesce(category, '') AS scope, list_distinct({_WORDS.format(_form('query'))}) AS w FROM golden_draft WHERE query IS NOT NULL AND regexp_matches({_form('query')}, '[^[:space:]]'))
         SELECT a.id AS query_id_a, b.id AS query_id_b FROM r a JOIN r b ON a.scope = b.scope AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-12""",
     "p7_found": """WITH k AS (SELECT run_name, query_id, chunk_id, max(CASE WHEN NOT isnan(dense_score) THEN dense_score END) AS d, max(CASE WHEN NOT isnan(sparse_score) THEN sparse_score END) AS s FROM retrieved_chunk
         WHERE run_name IS NOT NULL AND query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY run_name, query_id ORDER BY d DESC NULLS LAST, chunk_id) AS rd, row_number() OVER (PARTITION BY run_name, query_id ORDER BY s DESC NULLS LAST, chunk_id) AS rs, count(d) OVER w AS nd, count(s) OVER w AS ns FROM k WINDOW w AS (PARTITION BY run_name, query_id))
         SELECT run_name, query_id, chunk_id FROM r WHERE (nd > 0 AND ns > 0 AND rd <= 2 AND rs <= 2 AND d IS NOT NULL AND s IS NOT NULL) OR (ns = 0 AND nd > 0 AND rd = 1) OR (nd = 0 AND ns > 0 AND rs = 1)""",
-    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format(canonical.canonical_sql('text'))} AS w FROM eval_item WHERE text IS NOT NULL), g AS (SELECT item_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS k FROM i)),
-        d AS (SELECT doc_id, {_WORDS.format(canonical.canonical_sql('text'))} AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS k FROM d))
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS.format(_form('text'))} AS w FROM eval_item WHERE text IS NOT NULL), g AS (SELECT item_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT item_id, w, unnest(range(0, len(w) - 11)) AS k FROM i)),
+        d AS (SELECT doc_id, {_WORDS.format(_form('text'))} AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, array_to_string(w[k + 1 : k + 12], ' ') AS p FROM (SELECT doc_id, w, unnest(range(0, len(w) - 11)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (p)""",
 }
