@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..sources.tables import spread
 
 #: A stated query set up to this many numbers is sent to every task; a larger one is searched in blocks.
 QUERY_BLOCK = 4_000_000
@@ -28,8 +29,12 @@ def stated(df: DataFrame, most: int) -> DataFrame:
 
 
 def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = df.select(key, F.explode(T.words(F.lower(F.col(text)))).alias("w"))
-    return words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    words = spread(df.select(key, text)).select(key, F.explode(T.words(F.lower(F.col(text)))).alias("w"))
+    counts = words.groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    # One partitioning by key serves the buckets, the lengths and the scores of each item. Its number is set here, since
+    # what follows makes far more rows than adaptive execution would size it by.
+    spark = df.sparkSession
+    return counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), key)
 
 
 def sparse_vectors(df: DataFrame, key: str, text: str, buckets: int = 65536) -> DataFrame:
