@@ -27,7 +27,8 @@ FIT_ROWS = 3000
 ROUNDS, PASSES, BATCH, SEED = 5, 2, 256, 11
 #: After this many rounds, rows labelled toxic in which no sentence scores so are taken as mislabelled and left out.
 TRUSTING_ROUNDS = 2
-#: A threshold is set for a language from so many held-out documents of each kind on; else the one for all holds.
+#: A threshold is set for a language from so many held-out documents of each kind on; else the one for all holds, which
+#: takes the rows of training to its help where there are fewer than so many in all.
 LEAST_HELD_OUT = 20
 #: Sentences that are scored at once.
 BLOCK = 400
@@ -271,8 +272,8 @@ def _train(model: AbuseModel, features: tuple[np.ndarray, np.ndarray], sentences
 def fit(samples: list[tuple[str, int, str | None]], seed: int = SEED) -> AbuseModel:
     """Fit on (text in consistent form, toxic, language); thresholds are set on the quarter of each kind that is held out.
 
-    With fewer than two kinds of label the model scores every text the same and marks none; where fewer than four
-    documents of a kind leave nothing to hold out, the threshold is 0.5.
+    With fewer than two kinds of label the model scores every text the same and marks none. Where fewer than
+    LEAST_HELD_OUT of a kind are held out, the threshold goes by all rows, those of training among them.
     """
     draw = np.random.default_rng(seed)
     model = AbuseModel.fresh(seed)
@@ -322,7 +323,8 @@ def fit(samples: list[tuple[str, int, str | None]], seed: int = SEED) -> AbuseMo
         for _ in range(PASSES):
             _train(model, known, [s for s, *_ in chosen], targets, weights * len(chosen), draw, 0.01 / (1 + turn), state)
     fitted = AbuseModel(model.parts, {})
-    test = np.flatnonzero(held).tolist()
+    few = min((held & toxic).sum(), (held & ~toxic).sum()) < LEAST_HELD_OUT
+    test = np.flatnonzero(held | few).tolist()  # too few held-out rows of a kind tell nothing alone: all rows do
     scores = fitted.scores([samples[i][0] for i in test])
     langs = [samples[i][2] or "" for i in test]
     kinds = toxic[test]
